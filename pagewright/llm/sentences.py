@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from pagewright.storage import table
 
-MASK, OPEN, CLOSE, CUT = "", "", "", ""
+MASK, OPEN, CLOSE, CUT = "\ue0f0", "\ue0f1", "\ue0f2", "\ue0f3"
 
 # Abbreviations that never end a sentence, without their last dot.
 ABBREVIATIONS = [
@@ -30,30 +30,45 @@ ABBREVIATIONS = [
 # German months, before which a number with a dot is an ordinal.
 ORDINAL_NEXT = "Januar|Februar|März|April|Mai|Juni|Juli|August|September|Oktober|November|Dezember|Jahrhundert|Kapitel|Auflage"
 
+#: Characters that aren't part of a unit at its end.
+BLANKS = " \t\n\r\x0b\x0c\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
 _STOP = ".!?…؟।॥۔。！？｡"
-_BLANK = r"[ \t  -​ 　]"
+_BLANK = r"[ \t\u00a0\u2000-\u200b\u202f\u3000]"
+
+
+def _speech(opening: str, closing: str, goes_on: str) -> tuple[str, str]:
+    """Masks every terminator of a quotation that `goes_on` follows, one match after another from its opening mark on."""
+    inner = rf"[^{opening}{closing}{OPEN}{CLOSE}\n]*+"
+    starts = rf"(?:{opening}(?={inner}{closing}{goes_on})|(?!^)\G)"
+    return rf"({starts}[^{opening}{closing}{OPEN}{CLOSE}\n{_STOP}]*+)[{_STOP}]", f"$1{MASK}"
 
 
 def _mask_steps() -> list[tuple[str, str]]:
-    """(pattern, replacement) pairs; each replacement has the length of what it replaces."""
+    """(pattern, replacement) pairs; each replacement has the length of what it replaces.
+
+    Patterns begin with the rare mark itself and look behind it, so that the other characters are passed over quickly.
+    """
     words = "|".join(sorted(set(ABBREVIATIONS), key=lambda w: (-len(w), w)))
+    edge = rf"(?:^|[^\p{{L}}\p{{M}}\p{{Nd}}{MASK}])"
+    goes_on = rf"{_BLANK}*[\p{{Ll}}\p{{Lo}}—–,，、،]"
     return [
         # dots between letters or digits: decimals, versions, file names, hosts
-        (r"(?<=[\p{L}\p{Nd}])\.(?=[\p{L}\p{Nd}])", MASK),
+        (r"\.(?=[\p{L}\p{Nd}])(?<=[\p{L}\p{Nd}]\.)", MASK),
         # initials and abbreviations in several parts, as in z. B. and p. ex., but for a.m. and p.m. at the end of a sentence
-        (rf"(?<![\p{{L}}\p{{M}}\p{{Nd}}])(\p{{L}})\.(?={_BLANK}?\p{{L}}{{1,2}}[.{MASK}])", f"$1{MASK}"),
-        (rf"(?<![\p{{L}}\p{{M}}\p{{Nd}}'’])(\p{{Lu}})\.(?={_BLANK})", f"$1{MASK}"),
-        (rf"(?<=(?:^|[^\p{{L}}\p{{M}}\p{{Nd}}{MASK}])\p{{L}}{MASK}{_BLANK}?\p{{L}}{{1,2}})\.(?={_BLANK}*[^\s])(?<![aApP]{MASK}{_BLANK}?[mM]\.)", MASK),
-        (rf"(?<![\p{{L}}\p{{M}}\p{{Nd}}{MASK}])({words})\.(?={_BLANK})", f"$1{MASK}"),
-        (rf"(?<=\p{{Nd}})\.(?={_BLANK}(?:{ORDINAL_NEXT})\b)", MASK),
+        (rf"\.(?={_BLANK}?\p{{L}}{{1,2}}[.{MASK}])(?<={edge}\p{{L}}\.)", MASK),
+        (rf"\.(?={_BLANK})(?<=(?:^|[^\p{{L}}\p{{M}}\p{{Nd}}'’])\p{{Lu}}\.)", MASK),
+        (rf"\.(?={_BLANK}*[^\s])(?<={edge}\p{{L}}{MASK}{_BLANK}?\p{{L}}{{1,2}}\.)(?<![aApP]{MASK}{_BLANK}?[mM]\.)", MASK),
+        (rf"\.(?={_BLANK})(?<={edge}(?:{words})\.)", MASK),
+        (rf"\.(?={_BLANK}(?:{ORDINAL_NEXT})\b)(?<=\p{{Nd}}\.)", MASK),
         # a quotation that a colon introduces ends its sentence; its marks are set apart from those of speech that goes on
-        (rf"(?<=[:：]{_BLANK}?)“([^“”\n]*)”", f"{OPEN}$1{CLOSE}"),
-        (rf"(?<=[:：]{_BLANK}?)«([^«»\n]*)»", f"{OPEN}$1{CLOSE}"),
+        (rf"“(?<=[:：]{_BLANK}?“)([^“”\n]*)”", f"{OPEN}$1{CLOSE}"),
+        (rf"«(?<=[:：]{_BLANK}?«)([^«»\n]*)»", f"{OPEN}$1{CLOSE}"),
         # speech that goes on: 「…」と, and “…” or «…» with more of the sentence behind it
-        (r"[。！？.!?…](?=[^「」\n]*」(?:と|って|、|，|など|は|が|を))", MASK),
-        (r"[。！？.!?…](?=[^『』\n]*』(?:と|って|、|，|など|は|が|を))", MASK),
-        (rf"[{_STOP}](?=[^“”{OPEN}{CLOSE}\n]*”{_BLANK}*[\p{{Ll}}\p{{Lo}}—–,，、])", MASK),
-        (rf"[{_STOP}](?=[^«»{OPEN}{CLOSE}\n]*»{_BLANK}*[\p{{Ll}}\p{{Lo}}—–,،])", MASK),
+        _speech("「", "」", "(?:と|って|、|，|など|は|が|を)"),
+        _speech("『", "』", "(?:と|って|、|，|など|は|が|を)"),
+        _speech("“", "”", goes_on),
+        _speech("«", "»", goes_on),
     ]
 
 
@@ -64,20 +79,20 @@ def _cut_steps() -> list[tuple[str, str]]:
     return [
         (rf"([.!?…؟।॥۔]+(?:{closers}+|{_BLANK}[»{CLOSE}])?)(?={_BLANK}+[{starts}])", f"$1{CUT}"),
         (rf"([。！？｡]+[”»’\"')\]」』）{CLOSE}]*)", f"$1{CUT}"),
-        (rf"(?<=[฀-๿])({_BLANK}+)(?=[฀-๿])", f"{CUT}$1"),
-        (r"([\n\r  \u0085]+)", f"{CUT}$1"),
+        (rf"({_BLANK})(?<=[฀-๿].)(?={_BLANK}*[฀-๿])", f"{CUT}$1"),
+        (r"([\n\r\u2028\u2029\u0085]+)", f"{CUT}$1"),
     ]
 
 
 def unit_ends(text: Column) -> Column:
     """Array of the end positions of the sentence units of `text`, in characters; null for null, empty for blank text."""
-    out = F.regexp_replace(text, f"[{MASK}-{CUT}]", "")
+    out = F.translate(text, MASK + OPEN + CLOSE + CUT, "\ufffd" * 4)
     for pattern, to in _mask_steps() + _cut_steps():
         out = F.regexp_replace(out, pattern, to)
     pieces = F.split(out, CUT)
 
     def step(acc: Column, piece: Column) -> Column:
-        body = F.length(F.regexp_replace(piece, r"(?U)\s+$", ""))
+        body = F.length(F.rtrim(piece, F.lit(BLANKS)))
         ends = F.when(body > 0, F.array_append(acc["ends"], (acc["at"] + body).cast("int"))).otherwise(acc["ends"])
         return F.struct((acc["at"] + F.length(piece)).cast("int").alias("at"), ends.alias("ends"))
 
