@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pagewright.llm import near_duplicates, residue, sentences, site_lines
+from pagewright.llm import language, near_duplicates, residue, sentences, site_lines
 
-_MODULES = [near_duplicates, residue, site_lines, sentences]
+_MODULES = [near_duplicates, residue, site_lines, language, sentences]
 
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 ORACLE = {name: sql for m in _MODULES for name, sql in getattr(m, "ORACLE", {}).items()}
