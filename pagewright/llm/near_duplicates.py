@@ -23,9 +23,11 @@ from pagewright.llm.shingles import WIDTH, letters, text_key, window_hashes
 from pagewright.storage import bounded_broadcast, staged, table
 
 #: Least characters of a text that takes part, similarity, least expected tokens of a sketch, standard deviations of slack.
-MIN_CHARS, THRESHOLD, SKETCH, Z = 300, 0.5, 48, 3.5
+MIN_CHARS, THRESHOLD, SKETCH, Z = 300, 0.5, 24, 3.5
 #: Texts of one meeting that a task compares with as many others.
 BLOCK = 4000
+#: Members up to which a meeting is worked through with sets instead of inverted lists.
+FEW = 48
 
 
 def level_of(n: int, sketch: int = SKETCH) -> int:
@@ -97,25 +99,29 @@ def _prefixes(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: dict[str, list] = {k: [] for k in ("token", "role", "cls", "level", "own", "next", "common")}
-            for r in batch.to_pylist():
-                common = np.array(sorted({(x["df"], x["token"]) for x in r["common"]}), dtype=np.int64).reshape(-1, 2)[:, 1]
-                role = np.zeros(len(common), int)
-                for bit, size, mask in ((1, r["own"], (1 << r["level"]) - 1), (4, r["next"], (2 << r["level"]) - 1)):
-                    at = np.flatnonzero(common & mask == 0)  # negative numbers too: two's complement
-                    rare = size - len(at)  # tokens that nothing else has come first in the order
-                    for b, smaller in ((bit, False), (2 * bit, True)):
-                        if size:
-                            keep = size - int(least_overlap(size, smaller)) + 1 - rare
-                            role[at[: max(0, keep)]] |= b
-                use = np.flatnonzero(role)
-                out["token"] += common[use].tolist()
-                out["role"] += role[use].tolist()
-                for k in ("cls", "level", "own", "next"):
-                    out[k] += [r[k]] * len(use)
-                out["common"] += [common] * len(use)
-            kinds = {"token": pa.int64(), "role": pa.int32(), "cls": pa.int64(), "level": pa.int32(), "own": pa.int32(), "next": pa.int32(), "common": pa.list_(pa.int64())}
-            yield pa.RecordBatch.from_arrays([pa.array(out[k], t) for k, t in kinds.items()], list(kinds))
+            level, own, after, cls = (batch.column(c).to_numpy() for c in ("level", "own", "next", "cls"))
+            lists = batch.column("common")
+            counts = np.diff(lists.offsets.to_numpy())
+            row = np.repeat(np.arange(batch.num_rows), counts)
+            values = lists.flatten()
+            token, df = values.field("token").to_numpy(), values.field("df").to_numpy()
+            order = np.lexsort((token, df, row))  # the rarest come first; tokens that nothing else has would come before them
+            token = token[order]
+            first = np.concatenate([[0], np.cumsum(counts)])[:-1]
+            role = np.zeros(len(token), np.int32)
+            for bit, size, shift in ((1, own, 0), (4, after, 1)):
+                takes = token & ((np.int64(1) << (level + shift).astype(np.int64)) - 1)[row] == 0  # also of negative numbers
+                before = np.cumsum(takes) - takes
+                place = before - before[first[row]] if len(row) else before
+                rare = size - np.bincount(row, takes, batch.num_rows).astype(int)
+                for b, smaller in ((bit, False), (2 * bit, True)):
+                    keep = size - least_overlap(size, smaller) + 1 - rare
+                    role[takes & (place < keep[row]) & (size[row] > 0)] |= b
+            use = np.flatnonzero(role)
+            common = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(token, pa.int64()))
+            at = row[use]
+            columns = [pa.array(token[use]), pa.array(role[use], pa.int32()), pa.array(cls[at]), *(pa.array(x[at], pa.int32()) for x in (level, own, after)), common.take(pa.array(at))]
+            yield pa.RecordBatch.from_arrays(columns, ["token", "role", "cls", "level", "own", "next", "common"])
 
     return rows.mapInArrow(run, "token long, role int, cls long, level int, own int, next int, common array<long>")
 
@@ -201,6 +207,30 @@ def meeting(token: int, members: list[dict], left: set[int], right: set[int]) ->
     return pairs
 
 
+def small_meeting(token: int, rows: list[tuple], left: int, right: int) -> list[tuple[int, int]]:
+    """As `meeting`, for a few members: rows are (cls, block, role, level, own, next, common as a list)."""
+    pairs, held = [], [set(r[6]) for r in rows]
+    for i, (cls, block, role, level, own, after, common) in enumerate(rows):
+        if not role & 10:
+            continue
+        for j, (other, block_j, role_j, level_j, own_j, after_j, _) in enumerate(rows):
+            at = max(level, level_j)
+            if i == j or cls == other or not level <= at <= level + 1 or at > level_j + 1 or token & ((1 << at) - 1):
+                continue
+            if not ((block == left and block_j == right) or (block == right and block_j == left)):
+                continue
+            size, size_j = (own if at == level else after), (own_j if at == level_j else after_j)
+            if (size, cls) > (size_j, other) or not (role >> (2 * (at - level))) & 2 or not (role_j >> (2 * (at - level_j))) & 3:
+                continue
+            shared = held[i] & held[j]
+            if at != level or at != level_j:
+                shared = {x for x in shared if not x & ((1 << at) - 1)}
+            x, u = len(shared), size + size_j - len(shared)
+            if x >= THRESHOLD * u - Z * math.sqrt(THRESHOLD * (1 - THRESHOLD) * u) and next(t for t in common if t in shared) == token:
+                pairs.append((cls, other))
+    return pairs
+
+
 def candidate_pairs(sketched: DataFrame, block: int = BLOCK) -> DataFrame:
     """(a, b): pairs of classes in reach of the threshold."""
     own = sketched.filter("tokens is not null")
@@ -218,13 +248,18 @@ def candidate_pairs(sketched: DataFrame, block: int = BLOCK) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs: list[tuple[int, int]] = []
-        group: list[dict] = []
+        group: list[tuple] = []
         key = None
 
         def close() -> None:
-            if len(group) > 1:
-                unique = list({(m["cls"], m["block"]): m for m in group}.values())
-                pairs.extend(meeting(key[0], unique, {key[1]}, {key[2]}))
+            if len(group) > 1 and any(r[2] & 10 for r in group):
+                unique = list({(r[0], r[1]): r for r in group}.values())
+                if len(unique) <= FEW:
+                    pairs.extend(small_meeting(*key[:1], unique, *key[1:]))
+                else:
+                    names = ("cls", "block", "role", "level", "own", "next")
+                    members = [dict(zip(names, r, strict=False)) | {"common": np.array(r[6], np.int64)} for r in unique]
+                    pairs.extend(meeting(key[0], members, {key[1]}, {key[2]}))
             group.clear()
 
         def flush() -> pa.RecordBatch:
@@ -233,17 +268,15 @@ def candidate_pairs(sketched: DataFrame, block: int = BLOCK) -> DataFrame:
             return done
 
         for batch in batches:
-            names = [n for n in batch.schema.names if n != "common"]
-            columns = [batch.column(n).to_pylist() for n in names]
+            keys = list(zip(*(batch.column(n).to_pylist() for n in ("token", "left", "right")), strict=True))
+            rest = list(zip(*(batch.column(n).to_pylist() for n in ("cls", "block", "role", "level", "own", "next")), strict=True))
             lists = batch.column("common")
-            values, offsets = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
-            for i, row in enumerate(zip(*columns, strict=True)):
-                m = dict(zip(names, row, strict=True))
-                m["common"] = values[offsets[i] : offsets[i + 1]]
-                if key != (now := (m["token"], m["left"], m["right"])):
+            values, offsets = lists.values, lists.offsets.to_pylist()
+            for i, now in enumerate(keys):
+                if key != now:
                     close()
                     key = now
-                group.append(m)
+                group.append((*rest[i], values[offsets[i] : offsets[i + 1]].to_numpy().tolist()))
             if len(pairs) > 50_000:
                 yield flush()
         close()
