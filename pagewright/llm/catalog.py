@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pagewright.llm import encoding, language, mixing, near_duplicates, packing, residue, sentences, site_lines
+from pagewright.llm import encoding, language, main_body, mixing, near_duplicates, packing, residue, sentences, site_lines
 
-_MODULES = [encoding, near_duplicates, residue, site_lines, language, packing, mixing, sentences]
+_MODULES = [encoding, near_duplicates, residue, site_lines, main_body, language, packing, mixing, sentences]
 
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 ORACLE = {name: sql for m in _MODULES for name, sql in getattr(m, "ORACLE", {}).items()}
