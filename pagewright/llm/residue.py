@@ -22,6 +22,8 @@ from pagewright.storage import table
 
 #: Bits of the hashed feature space, most records of the labelled sample, share of hosts kept for validation, L2 weight.
 BITS, SAMPLE, HELD_OUT, L2 = 17, 4000, 0.2, 2e-5
+#: Records, at most, among which the sample is looked for.
+LOOKED_AT = 30_000
 #: Share of a record's letters that messages make up in a message record.
 MESSAGE_SHARE = 0.5
 TEXT, FILLER, MESSAGE, QUOTED = 0, 1, 2, 3  # QUOTED is a label only; it trains as TEXT, with a weight of its own
@@ -112,7 +114,7 @@ def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     salt = np.uint64(0xFF51AFD7ED558CCD)
     with np.errstate(over="ignore"):
         out = np.concatenate([((x ^ np.uint64(i * 977)) * salt) >> np.uint64(64 - BITS) for i, x in enumerate(numbers)]) & mask
-    return out.astype(np.int64), np.concatenate(places), text_of, letters, first_char
+    return out.astype(np.int32), np.concatenate(places).astype(np.int32), text_of, letters, first_char
 
 
 def scores(weights: np.ndarray, feature: np.ndarray, place: np.ndarray, n: int) -> np.ndarray:
@@ -122,7 +124,7 @@ def scores(weights: np.ndarray, feature: np.ndarray, place: np.ndarray, n: int)
     return np.stack([np.bincount(place, weights[feature, k], n) * scale for k in range(weights.shape[1])], 1)
 
 
-def fit(texts: list[str], statuses: list[int | None], rounds: int = 40, rate: float = 2.0) -> np.ndarray:
+def fit(texts: list[str], statuses: list[int | None], rounds: int = 100, rate: float = 2.0) -> np.ndarray:
     """Weights (feature, class) of the softmax regression, by gradient descent with momentum; the bias is a feature."""
     weights = np.zeros((1 << BITS, 3), np.float32)
     feature, place, text_of, letters, first_char = features(texts)
@@ -133,7 +135,7 @@ def fit(texts: list[str], statuses: list[int | None], rounds: int = 40, rate: fl
     number = np.full(len(labels), -1)
     number[use] = np.arange(len(use))
     keep = number[place] >= 0
-    feature, place, y = feature[keep], number[place[keep]], labels[use]
+    feature, place, y = feature[keep], number[place[keep]].astype(np.int32), labels[use]
     n = len(use)
     share = np.bincount(y, minlength=4) / n
     balance = np.where(share > 0, np.minimum(100, 1 / (4 * np.maximum(share, 1e-9))), 0)[y]
@@ -147,7 +149,7 @@ def fit(texts: list[str], statuses: list[int | None], rounds: int = 40, rate: fl
         z -= z.max(1, keepdims=True)
         p = np.exp(z)
         p /= p.sum(1, keepdims=True)
-        g = (p - target) * (balance * scale)[:, None] * n
+        g = ((p - target) * (balance * scale)[:, None] * n).astype(np.float32)
         gradient = np.stack([np.bincount(feature, g[place, k], 1 << BITS) for k in range(3)], 1) / n + L2 * weights
         square += gradient * gradient
         weights -= (rate * gradient / (np.sqrt(square) + 1e-8) * 0.1).astype(np.float32)
@@ -170,19 +172,24 @@ def segment_labels(texts: list[str], statuses: list[int | None], text_of: np.nda
 def training_sample(spark: SparkSession, sf_dir: str, held_out: bool = False) -> tuple[list[str], list[int | None]]:
     """At most SAMPLE texts of snapshots, with their status, and contents of pages, of training hosts or of those kept for validation.
 
-    Half of the sample, at most, are records that weak labels call residue; the order is that of a hash of the id.
+    Half of the sample, at most, are records that weak labels call residue; the order is that of a hash of the id, and LOOKED_AT
+    records are searched.
     """
-    shots = table(spark, sf_dir, "snapshots").select("page_id", site_of(F.col("url")).alias("host"), "text", "status")
-    pages = table(spark, sf_dir, "formatted_pages").select("page_id", site_of(F.col("url")).alias("host"), F.col("content").alias("text"), F.lit(None).cast("int").alias("status"))
-    shots = shots.unionByName(pages).filter("text is not null")
+    shots = table(spark, sf_dir, "snapshots").select("page_id", F.lit(0).alias("field"), site_of(F.col("url")).alias("host"), "text", "status")
+    pages = table(spark, sf_dir, "formatted_pages").select("page_id", F.lit(1).alias("field"), site_of(F.col("url")).alias("host"), F.col("content").alias("text"), F.lit(None).cast("int").alias("status"))
+    records = shots.unionByName(pages).filter("text is not null").withColumn("h", F.xxhash64("page_id", "field", F.lit(7)))
     kept = F.pmod(F.xxhash64(F.coalesce("host", F.lit(""))), F.lit(1000)) < int(1000 * HELD_OUT)
-    shots = shots.filter(kept if held_out else ~kept)
+    share = min(1.0, LOOKED_AT / max(1, records.count()))
+    records = records.filter(F.pmod("h", F.lit(1_000_003)) < share * 1_000_003).filter(kept if held_out else ~kept)
     text = F.lower("text")
-    marked = text.rlike(_java(PLACEHOLDER.pattern)) | text.rlike("|".join(map(re.escape, FILLER_PHRASES))) | ((F.length("text") < 400) & ((F.col("status") >= 400) | text.rlike("|".join(map(re.escape, MESSAGE_PHRASES))))) | text.rlike("|".join(map(re.escape, QUOTING_PHRASES[:3])))
-    order = [F.xxhash64("page_id", "status", F.lit(7)), F.col("page_id")]
-    rows = []
-    for part in (shots.filter(marked), shots):
-        rows += part.orderBy(*order).limit(SAMPLE // 2).select("text", "status").toArrow().to_pylist()
+    marked = text.rlike(_java(PLACEHOLDER.pattern)) | text.rlike("|".join(map(re.escape, [*FILLER_PHRASES, *QUOTING_PHRASES[:3]]))) | ((F.length("text") < 400) & ((F.col("status") >= 400) | text.rlike("|".join(map(re.escape, MESSAGE_PHRASES)))))
+    # the ids are chosen first, so that no more texts than the sample's come to the driver
+    ids: set[tuple[int, int]] = set()
+    for part in (records.filter(marked), records):
+        ids |= {(r["page_id"], r["field"]) for r in part.select("h", "page_id", "field").orderBy("h", "page_id", "field").limit(SAMPLE // 2).collect()}
+    chosen = F.broadcast(spark.createDataFrame(sorted(ids), "page_id long, field int"))
+    rows = records.join(chosen, ["page_id", "field"], "left_semi").select("h", "field", "text", "status").toArrow().to_pylist()
+    rows.sort(key=lambda r: (r["h"], r["field"], r["text"]))
     return [r["text"] for r in rows], [r["status"] for r in rows]
 
 
