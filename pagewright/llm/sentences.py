@@ -51,14 +51,15 @@ def _mask_steps() -> list[tuple[str, str]]:
     """
     words = "|".join(sorted(set(ABBREVIATIONS), key=lambda w: (-len(w), w)))
     edge = rf"(?:^|[^\p{{L}}\p{{M}}\p{{Nd}}{MASK}])"
+    part = r"(?:\p{L}|ex|ej|es|dgl)"
     goes_on = rf"{_BLANK}*[\p{{Ll}}\p{{Lo}}—–,，、،]"
     return [
         # dots between letters or digits: decimals, versions, file names, hosts
         (r"\.(?=[\p{L}\p{Nd}])(?<=[\p{L}\p{Nd}]\.)", MASK),
         # initials and abbreviations in several parts, as in z. B. and p. ex., but for a.m. and p.m. at the end of a sentence
-        (rf"\.(?={_BLANK}?\p{{L}}{{1,2}}[.{MASK}])(?<={edge}\p{{L}}\.)", MASK),
+        (rf"\.(?={_BLANK}?{part}[.{MASK}])(?<={edge}\p{{L}}\.)", MASK),
         (rf"\.(?={_BLANK})(?<=(?:^|[^\p{{L}}\p{{M}}\p{{Nd}}'’])\p{{Lu}}\.)", MASK),
-        (rf"\.(?={_BLANK}*[^\s])(?<={edge}\p{{L}}{MASK}{_BLANK}?\p{{L}}{{1,2}}\.)(?<![aApP]{MASK}{_BLANK}?[mM]\.)", MASK),
+        (rf"\.(?={_BLANK}*[^\s])(?<={edge}\p{{L}}{MASK}{_BLANK}?{part}\.)(?<![aApP]{MASK}{_BLANK}?[mM]\.)", MASK),
         (rf"\.(?={_BLANK})(?<={edge}(?:{words})\.)", MASK),
         (rf"\.(?={_BLANK}(?:{ORDINAL_NEXT})\b)(?<=\p{{Nd}}\.)", MASK),
         # a quotation that a colon introduces ends its sentence; its marks are set apart from those of speech that goes on
