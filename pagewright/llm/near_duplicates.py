@@ -37,13 +37,13 @@ def level_of(n: int, sketch: int = SKETCH) -> int:
 
 def least_overlap(size: np.ndarray, smaller: bool, threshold: float = THRESHOLD, z: float = Z) -> np.ndarray:
     """Least overlap of a sketch of `size` tokens with any partner at the threshold; smaller: with one of at least its size."""
-    s = np.asarray(size, float)
-    if smaller:  # the union has at least 2 s - x tokens
-        x = 2 * s * threshold / (1 + threshold)
-        x = (2 * s * threshold - z * np.sqrt(threshold * (1 - threshold) * (2 * s - x))) / (1 + threshold)
-    else:
-        x = threshold * s - z * np.sqrt(threshold * (1 - threshold) * s)
-    return np.maximum(1, np.ceil(x)).astype(int)
+    s, c = np.asarray(size, float), z * math.sqrt(threshold * (1 - threshold))
+    if smaller:  # a union of u tokens holds 2 s - u common ones, or more; the largest u in reach solves a quadratic equation
+        root = (c + np.sqrt(c * c + 8 * s * (1 + threshold))) / (2 * (1 + threshold))
+        x = 2 * s - root * root
+    else:  # the union has at least s tokens
+        x = threshold * s - c * np.sqrt(s)
+    return np.maximum(1, np.ceil(x - 1e-9)).astype(int)
 
 
 def enough(x: np.ndarray, a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD, z: float = Z) -> np.ndarray:
@@ -71,7 +71,7 @@ def sketches(texts: DataFrame, sketch: int = SKETCH, min_chars: int = MIN_CHARS,
                     continue
                 ids.append(key.as_py())
                 classes.append(cls := text_key(codes))
-                hashes = window_hashes(codes, width)
+                hashes = np.unique(window_hashes(codes, width))
                 levels.append(level := level_of(len(hashes), sketch))
                 if cls in seen:
                     tokens.append(None)
@@ -80,7 +80,7 @@ def sketches(texts: DataFrame, sketch: int = SKETCH, min_chars: int = MIN_CHARS,
                     continue
                 if len(seen) < 1_000_000:  # only spares work, later steps don't rely on it
                     seen.add(cls)
-                chosen = np.unique(hashes[hashes & np.uint64((1 << level) - 1) == 0])
+                chosen = hashes[hashes & np.uint64((1 << level) - 1) == 0]
                 own.append(len(chosen))
                 after.append(int(np.count_nonzero(chosen & np.uint64((2 << level) - 1) == 0)))
                 tokens.append(chosen.view(np.int64))
