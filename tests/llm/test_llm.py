@@ -184,6 +184,14 @@ def test_readings_round_trip(bigrams, text: str, read: str, written: str) -> Non
     assert "".join(c for _, c in encoding.symbols(garbled, swap)) == text
 
 
+@pytest.mark.parametrize("text", ["Der Gärtner prüft den Garten", "Il protège la ville"])
+def test_lone_accents_read_by_a_wide_page(bigrams, text: str) -> None:  # noqa: ANN001
+    garbled = text.encode().decode("gbk")
+    assert not encoding._PAIR.search(garbled)  # a letter of two bytes is one character
+    swap, gain = encoding.readings(garbled, bigrams)[0]
+    assert swap == "gbk>utf-8" and encoding.reread(garbled, swap) == text and gain > 5
+
+
 def test_table_is_learned(bigrams) -> None:  # noqa: ANN001
     text = "der gärtner prüft die brücke über den fluß " * 30
     swap = {"ä": "1", "ü": "2", "ß": "3"}
