@@ -1,11 +1,11 @@
 """Problem 2: pages that share most of their text.
 
 Two texts are near-duplicates if the Jaccard similarity of their sets of substrings reaches a threshold. Exact copies form one
-class. A class is sketched by the substrings whose hash is divisible by a power of two that follows the text's length; the
-sketches are nested, so that two texts of similar length can be compared at the coarser one. Pairs come from a search for
-T-occurrences: the sketch tokens' inverted lists are ordered by length, texts meet only at the tokens of their prefixes, and in
-each meeting the short lists are merged and the long ones probed (DivideSkip). T is the overlap that a pair at the threshold
-falls short of with a chance of about 1 in 4,000 (Z below). All pairs found are checked exactly on their whole texts.
+class. All distinct substrings of a class take part. They are divided into parts by their hashes: a pair at the threshold reaches
+it in one of the parts at least, so that each part can be searched by itself and no pair is lost. In a part, the substrings that the
+same classes have (equal inverted lists) become one list with a weight. Pairs come from a search for T-occurrences over these
+lists, ordered by length: texts meet only at the lists of their prefixes, and in each meeting the short lists are merged and the
+long ones probed (DivideSkip). All pairs found are checked exactly on their whole texts.
 """
 
 from __future__ import annotations
@@ -14,237 +14,269 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm.shingles import WIDTH, letters, text_key, window_hashes
+from pagewright.llm.shingles import WIDTH, letters, mix, text_key, window_hashes
 from pagewright.storage import bounded_broadcast, staged, table
 
-#: Least characters of a text that takes part, similarity, least expected tokens of a sketch, standard deviations of slack.
-MIN_CHARS, THRESHOLD, SKETCH, Z = 300, 0.5, 24, 3.5
+#: Least characters of a text that takes part, similarity.
+MIN_CHARS, THRESHOLD = 300, 0.5
+#: Substrings of one bucket, and the most parts (powers of two); beyond that many buckets, several make up a part.
+BUCKET, PARTS = 10_000_000, 16
 #: Texts of one meeting that a task compares with as many others.
 BLOCK = 4000
 #: Members up to which a meeting is worked through with sets instead of inverted lists.
 FEW = 48
 
 
-def level_of(n: int, sketch: int = SKETCH) -> int:
-    """Power of two of the sampling: between `sketch` and twice as many tokens are expected."""
-    return max(0, (n // sketch).bit_length() - 1)
-
-
-def least_overlap(size: np.ndarray, smaller: bool, threshold: float = THRESHOLD, z: float = Z) -> np.ndarray:
-    """Least overlap of a sketch of `size` tokens with any partner at the threshold; smaller: with one of at least its size."""
-    s, c = np.asarray(size, float), z * math.sqrt(threshold * (1 - threshold))
-    if smaller:  # a union of u tokens holds 2 s - u common ones, or more; the largest u in reach solves a quadratic equation
-        root = (c + np.sqrt(c * c + 8 * s * (1 + threshold))) / (2 * (1 + threshold))
-        x = 2 * s - root * root
-    else:  # the union has at least s tokens
-        x = threshold * s - c * np.sqrt(s)
+def least_overlap(size: np.ndarray, smaller: bool, threshold: float = THRESHOLD) -> np.ndarray:
+    """Least overlap of a set of `size` tokens with any partner at the threshold; smaller: with one of at least its size."""
+    s = np.asarray(size, float)
+    x = 2 * threshold * s / (1 + threshold) if smaller else threshold * s
     return np.maximum(1, np.ceil(x - 1e-9)).astype(int)
 
 
-def enough(x: np.ndarray, a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD, z: float = Z) -> np.ndarray:
-    """Whether an overlap x of sketches of a and b tokens is in reach of the threshold."""
-    u = a + b - x
-    return x >= threshold * u - z * np.sqrt(threshold * (1 - threshold) * u)
+def enough(x: np.ndarray, a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> np.ndarray:
+    """Whether an overlap x of sets of a and b tokens reaches the threshold."""
+    return x >= threshold * (a + b - x)
 
 
-def sketches(texts: DataFrame, sketch: int = SKETCH, min_chars: int = MIN_CHARS, width: int = WIDTH) -> DataFrame:
-    """(id, cls, level, own, next, tokens) of each text with at least `min_chars` letters and digits.
+def sketches(texts: DataFrame, buckets: int = 1, min_chars: int = MIN_CHARS, width: int = WIDTH) -> DataFrame:
+    """(bucket, cls, size, lost, tokens): all distinct substrings of each text with at least `min_chars` letters and digits.
 
-    cls is a 64-bit key of the normalised text; own and next are the sketch's sizes at its level and at the next one. tokens is
-    null where the same partition has had the class before.
+    buckets: a power of two. cls is a 64-bit key of the normalised text, size the number of its substrings in the bucket's part,
+    tokens the 32 bits of their hashes that follow the bucket's, and lost the number of those in the part that fell together by
+    that. A class may come again from another partition.
     """
+    bits, coarse = buckets.bit_length() - 1, (buckets // min(buckets, PARTS)).bit_length() - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            ids, classes, levels, own, after, tokens = [], [], [], [], [], []
-            for key, text in zip(batch.column(0), batch.column(1), strict=True):
+            at, classes, sizes, lost, tokens = [], [], [], [], []
+            for text in batch.column(0):
                 if (text := text.as_py()) is None or len(text) < min_chars:
                     continue
                 codes = letters(text)
-                if len(codes) < min_chars:
-                    continue
-                ids.append(key.as_py())
-                classes.append(cls := text_key(codes))
-                hashes = np.unique(window_hashes(codes, width))
-                levels.append(level := level_of(len(hashes), sketch))
-                if cls in seen:
-                    tokens.append(None)
-                    own.append(0)
-                    after.append(0)
+                if len(codes) < min_chars or (cls := text_key(codes)) in seen:
                     continue
                 if len(seen) < 1_000_000:  # only spares work, later steps don't rely on it
                     seen.add(cls)
-                chosen = hashes[hashes & np.uint64((1 << level) - 1) == 0]
-                own.append(len(chosen))
-                after.append(int(np.count_nonzero(chosen & np.uint64((2 << level) - 1) == 0)))
-                tokens.append(chosen.view(np.int64))
-            columns = [pa.array(x, t) for x, t in ((ids, pa.int64()), (classes, pa.int64()), (levels, pa.int32()), (own, pa.int32()), (after, pa.int32()), (tokens, pa.list_(pa.int64())))]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "cls", "level", "own", "next", "tokens"])
+                hashes = np.unique(window_hashes(codes, width))
+                short = hashes >> np.uint64(32 - bits)
+                places = (short >> np.uint64(32)).astype(np.int32)
+                twice = np.concatenate([[False], short[1:] == short[:-1]])
+                part = places >> coarse
+                size, fell = np.bincount(part, minlength=PARTS), np.bincount(part, twice, PARTS).astype(int)
+                short, places = short[~twice], places[~twice]
+                cuts = np.flatnonzero(np.diff(places)) + 1
+                parts = np.split(short.astype(np.uint32).view(np.int32), cuts)
+                found = places[np.concatenate([[0], cuts])]
+                at += found.tolist()
+                classes += [cls] * len(parts)
+                sizes += size[found >> coarse].tolist()
+                lost += fell[found >> coarse].tolist()
+                tokens += parts
+            columns = [pa.array(x, t) for x, t in ((at, pa.int32()), (classes, pa.int64()), (sizes, pa.int32()), (lost, pa.int32()))]
+            offsets = np.concatenate([[0], np.cumsum([len(x) for x in tokens])]) if tokens else np.zeros(1)
+            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(tokens) if tokens else np.empty(0, np.int32), pa.int32()))
+            yield pa.RecordBatch.from_arrays([*columns, lists], ["bucket", "cls", "size", "lost", "tokens"])
+
+    return texts.select("text").mapInArrow(run, "bucket int, cls long, size int, lost int, tokens array<int>")
+
+
+def inverted_lists(sketched: DataFrame, buckets: int) -> DataFrame:
+    """(token, part, weight, cls, size, lost): inverted lists with two members or more; equal ones of a part are one, with their number as weight.
+
+    Where a bucket is a whole part, classes that share less than the threshold with all others have no partner and are left out.
+    """
+    coarse = (buckets // min(buckets, PARTS)).bit_length() - 1
+    names, types = ["token", "part", "weight", "cls", "size", "lost"], [pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32())]
+    empty = pa.RecordBatch.from_arrays([pa.array([], t) for t in types], names)
+
+    def close(bucket: int, parts: list[tuple]) -> pa.RecordBatch:
+        cls, size, lost, counts = (np.concatenate([p[k] for p in parts]) for k in range(4))
+        distinct, first, owner = np.unique(cls, return_index=True, return_inverse=True)
+        size, lost = size[first], lost[first]
+        packed = np.concatenate([p[4] for p in parts]).view(np.uint32).astype(np.uint64) << np.uint64(32)
+        packed |= np.repeat(owner.astype(np.uint64), counts)
+        packed.sort()
+        keep = np.ones(len(packed), bool)
+        keep[1:] = packed[1:] != packed[:-1]  # a class that came from two partitions
+        if not keep.all():
+            packed = packed[keep]
+        for again in range(2):
+            token = (packed >> np.uint64(32)).astype(np.uint32)
+            starts = np.concatenate([[0], np.flatnonzero(token[1:] != token[:-1]) + 1])
+            n = np.diff(np.append(starts, len(token)))
+            at = (packed & np.uint64(0xFFFFFFFF)).astype(np.int64)
+            if again or coarse:
+                break
+            shared = np.bincount(at, np.repeat(n > 1, n), len(distinct))
+            packed = packed[(shared + lost >= THRESHOLD * size)[at] & np.repeat(n > 1, n)]
+            if not len(packed):
+                return empty
+        with np.errstate(over="ignore"):
+            key = mix(np.add.reduceat(mix(distinct.view(np.uint64))[at], starts) + n.astype(np.uint64) + np.uint64(bucket >> coarse << 32))
+        common = np.flatnonzero(n > 1)
+        keys, which, weight = np.unique(key[common], return_index=True, return_counts=True)
+        begin, many = starts[common[which]], n[common[which]]
+        ends = np.cumsum(many)
+        members = at[np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - many, many) + np.repeat(begin, many)]
+        offsets = pa.array(np.concatenate([[0], ends]), pa.int32())
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(x[members], t)) for x, t in ((distinct, pa.int64()), (size, pa.int32()), (lost, pa.int32()))]
+        return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(np.full(len(keys), bucket >> coarse), pa.int32()), pa.array(weight, pa.int64()), *lists], names)
 
-    return texts.mapInArrow(run, "id long, cls long, level int, own int, next int, tokens array<long>")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[tuple] = []
+        last = None
+        for batch in batches:
+            bucket = batch.column("bucket").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if a == b:
+                    continue
+                if bucket[a] != last and parts:
+                    yield close(int(last), parts)
+                    parts = []
+                last = bucket[a]
+                some = batch.slice(a, b - a)
+                lists = some.column("tokens")
+                parts.append((*(some.column(c).to_numpy().copy() for c in ("cls", "size", "lost")), np.diff(lists.offsets.to_numpy()), lists.flatten().to_numpy().copy()))
+        if parts:
+            yield close(int(last), parts)
+
+    sorted_rows = sketched.repartition("bucket").sortWithinPartitions("bucket")
+    found = sorted_rows.mapInArrow(run, "token long, part int, weight long, cls array<long>, size array<int>, lost array<int>")
+    if not coarse:
+        return found
+    return found.groupBy("token", "part").agg(F.sum("weight").alias("weight"), F.first("cls").alias("cls"), F.first("size").alias("size"), F.first("lost").alias("lost"))
 
 
 def _prefixes(rows: DataFrame) -> DataFrame:
-    """A row for each prefix token of a class: (token, role, cls, level, sizes, common).
+    """A row for each prefix list of a class: (token, role, cls, size, lost, common, weights).
 
-    rows: cls, level, own and next (sizes of the sketch at its level and at the next one), common (array of (df, token) of the
-    tokens that other rows have too). role: bits 1, 2 as the larger or smaller text at the own level, 4, 8 at the next level.
+    rows: cls, size, lost, common (array of (df, token, weight)). role: bits 1, 2 as the larger or smaller text of a pair.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            level, own, after, cls = (batch.column(c).to_numpy() for c in ("level", "own", "next", "cls"))
-            lists = batch.column("common")
-            counts = np.diff(lists.offsets.to_numpy())
-            row = np.repeat(np.arange(batch.num_rows), counts)
-            values = lists.flatten()
-            token, df = values.field("token").to_numpy(), values.field("df").to_numpy()
-            order = np.lexsort((token, df, row))  # the rarest come first; tokens that nothing else has would come before them
-            token = token[order]
-            first = np.concatenate([[0], np.cumsum(counts)])[:-1]
-            role = np.zeros(len(token), np.int32)
-            for bit, size, shift in ((1, own, 0), (4, after, 1)):
-                takes = token & ((np.int64(1) << (level + shift).astype(np.int64)) - 1)[row] == 0  # also of negative numbers
-                before = np.cumsum(takes) - takes
-                place = before - before[first[row]] if len(row) else before
-                rare = size - np.bincount(row, takes, batch.num_rows).astype(int)
-                for b, smaller in ((bit, False), (2 * bit, True)):
-                    keep = size - least_overlap(size, smaller) + 1 - rare
-                    role[takes & (place < keep[row]) & (size[row] > 0)] |= b
-            use = np.flatnonzero(role)
-            common = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(token, pa.int64()))
-            at = row[use]
-            columns = [pa.array(token[use]), pa.array(role[use], pa.int32()), pa.array(cls[at]), *(pa.array(x[at], pa.int32()) for x in (level, own, after)), common.take(pa.array(at))]
-            yield pa.RecordBatch.from_arrays(columns, ["token", "role", "cls", "level", "own", "next", "common"])
-
-    return rows.mapInArrow(run, "token long, role int, cls long, level int, own int, next int, common array<long>")
-
-
-def t_occurrences(lists: list[np.ndarray], t: int, n: int, mu: float = 0.02) -> tuple[np.ndarray, np.ndarray]:
-    """Records on at least t of the sorted lists of record numbers below n, with their counts.
+            out: list[list] = [[] for _ in range(7)]
+            for cls, size, lost, common in zip(*(batch.column(c).to_pylist() for c in ("cls", "size", "lost", "common")), strict=True):
+                common.sort(key=lambda x: (x["df"], x["token"]))  # the rarest come first; tokens that nothing else has come before them
+                tokens, weights = [x["token"] for x in common], [x["weight"] for x in common]
+                own = size - lost
+                place = own - sum(weights)
+                keep = [own - (int(least_overlap(size, smaller)) - lost) for smaller in (False, True)]
+                for token, weight in zip(tokens, weights, strict=True):
+                    role = (place <= keep[0]) + 2 * (place <= keep[1])
+                    if not role:
+                        break
+                    for column, x in zip(out, (token, role, cls, size, lost, tokens, weights), strict=True):
+                        column.append(x)
+                    place += weight
+            types = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types, strict=True)], ["token", "role", "cls", "size", "lost", "common", "weights"])
+
+    return rows.mapInArrow(run, "token long, role int, cls long, size int, lost int, common array<long>, weights array<long>")
+
+
+def t_occurrences(lists: list[np.ndarray], t: int, n: int, mu: float = 0.02, weights: list[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Records on at least t of the sorted lists of record numbers below n, with their counts; a list counts as often as its weight.
 
     The longest lists, as many as DivideSkip's rule says, aren't merged: a record must be on t less their number of the short
     lists, and is then looked for in the long ones by binary search.
     """
-    lists = sorted(lists, key=len)
-    longest = len(lists[-1]) if lists else 0
-    n_long = min(len(lists), t - 1, int(t / (mu * math.log2(max(2, longest)) + 1)))
-    short, long = lists[: len(lists) - n_long], lists[len(lists) - n_long :]
-    merged = np.concatenate(short) if short else np.empty(0, int)
+    pairs = sorted(zip(lists, weights or [1] * len(lists), strict=True), key=lambda x: len(x[0]))
+    longest = len(pairs[-1][0]) if pairs else 0
+    most, n_long, weight_long = int(t / (mu * math.log2(max(2, longest)) + 1)), 0, 0
+    while n_long < min(len(pairs), most) and weight_long + pairs[-1 - n_long][1] < t:
+        weight_long += pairs[-1 - n_long][1]
+        n_long += 1
+    short, long = pairs[: len(pairs) - n_long], pairs[len(pairs) - n_long :]
+    merged = np.concatenate([x for x, _ in short]) if short else np.empty(0, int)
+    each = np.repeat([w for _, w in short], [len(x) for x, _ in short]) if short else np.empty(0, int)
     if len(merged) * 4 > n:
-        counts = np.bincount(merged, minlength=n)
-        found = np.flatnonzero(counts >= max(1, t - n_long))
+        counts = np.bincount(merged, each, n).astype(int)
+        found = np.flatnonzero(counts >= max(1, t - weight_long))
         counts = counts[found]
     else:
-        found, counts = np.unique(merged, return_counts=True)
-        keep = counts >= max(1, t - n_long)
+        found, which = np.unique(merged, return_inverse=True)
+        counts = np.bincount(which, each, len(found)).astype(int)
+        keep = counts >= max(1, t - weight_long)
         found, counts = found[keep], counts[keep]
-    for one in long:
+    for one, weight in long:
         at = np.searchsorted(one, found)
-        counts = counts + (one[np.minimum(at, len(one) - 1)] == found if len(one) else 0)
+        counts = counts + (weight * (one[np.minimum(at, len(one) - 1)] == found) if len(one) else 0)
     keep = counts >= t
     return found[keep], counts[keep]
 
 
-def meeting(token: int, members: list[dict], left: set[int], right: set[int]) -> list[tuple[int, int]]:
+def meeting(token: int, rows: list[tuple], left: int, right: int) -> list[tuple[int, int]]:
     """Candidate pairs of one meeting, given only if the token is the first at which the two meet.
 
-    left, right: the blocks whose members are paired; equal in a meeting of one block.
+    rows: (cls, block, role, size, lost, common, weights); left, right: the blocks whose members are paired, equal in a meeting of
+    one block.
     """
     pairs = []
-    levels = sorted({m["level"] for m in members})
-    for level in sorted({x for v in levels for x in (v, v + 1)}):
-        mask = (1 << level) - 1
-        if token & mask:
-            continue
-        index, probe = [], []
-        for i, m in enumerate(members):
-            shift = 0 if m["level"] == level else 2 if m["level"] == level - 1 else None
-            if shift is not None:
-                size = m["own"] if not shift else m["next"]
-                bits = m["role"] >> shift
-                if bits & 3 and size:
-                    index.append((size, m["cls"], i, bool(bits & 2)))
-        if len(index) < 2:
+    rows = sorted(rows, key=lambda r: (r[3], r[0]))
+    sizes, lost, block = (np.array([r[k] for r in rows]) for k in (3, 4, 1))
+    at = np.repeat(np.arange(len(rows)), [len(r[5]) for r in rows])
+    tokens = np.concatenate([np.array(r[5], np.int64) for r in rows])
+    order = np.lexsort((at, tokens))
+    tokens, at = tokens[order], at[order]
+    distinct, starts = np.unique(tokens, return_index=True)
+    where = {int(x): (int(a), int(b)) for x, a, b in zip(distinct, starts, np.append(starts[1:], len(at)), strict=True)}
+    for k, (cls, _, role, size, missed, common, weights) in enumerate(rows):
+        if not role & 2 or k + 1 == len(rows):
             continue
-        index.sort()
-        sets = [members[i]["common"] for *_, i, _ in index]
-        sets = [s[s & mask == 0] for s in sets]
-        sizes = np.array([s for s, *_ in index])
-        own = np.array([members[i]["level"] == level for *_, i, _ in index])
-        at = np.concatenate([np.full(len(s), k) for k, s in enumerate(sets)])
-        all_tokens = np.concatenate(sets)
-        order = np.lexsort((at, all_tokens))
-        all_tokens, at = all_tokens[order], at[order]
-        distinct, starts = np.unique(all_tokens, return_index=True)
-        ends = np.append(starts[1:], len(at))
-        where = {int(x): (int(a), int(b)) for x, a, b in zip(distinct, starts, ends, strict=True)}
-        block = np.array([members[i]["block"] for *_, i, _ in index])
-        in_left, in_right = np.isin(block, list(left)), np.isin(block, list(right))
-        for k, (size, cls, i, is_probe) in enumerate(index):
-            if not is_probe or k + 1 == len(index):
-                continue
-            t = int(least_overlap(size, True))
-            lists = [at[a:b] for a, b in (where[int(x)] for x in sets[k])]
-            # partners come later in the order by size, so that this text is the smaller one
-            lists = [x[np.searchsorted(x, k, "right") :] for x in lists]
-            found, counts = t_occurrences([x for x in lists if len(x)], t, len(index))
-            ok = enough(counts, size, sizes[found]) & (own[found] | own[k])
-            ok &= (in_left[k] & in_right[found]) | (in_right[k] & in_left[found])
-            for j in found[ok]:
-                # each list of common tokens is in the order of the prefixes: the first token of both is where they meet first
-                other = sets[j]
-                mine = sets[k]
-                shared = mine[np.isin(mine, other)]
-                if shared[0] == token:
-                    pairs.append((cls, index[j][1]))
+        lists = [at[a:b] for a, b in (where[x] for x in common)]
+        # partners come later in the order by size, so that this text is the smaller one
+        lists = [x[np.searchsorted(x, k, "right") :] for x in lists]
+        used = [(x, w) for x, w in zip(lists, weights, strict=True) if len(x)]
+        found, counts = t_occurrences([x for x, _ in used], max(1, int(least_overlap(size, True)) - missed), len(rows), weights=[w for _, w in used])
+        ok = enough(counts + missed, size, sizes[found])
+        ok &= ((block[k] == left) & (block[found] == right)) | ((block[k] == right) & (block[found] == left))
+        for j in found[ok]:
+            other = set(rows[j][5])
+            # each list of common tokens is in the order of the prefixes: the first token of both is where they meet first
+            if rows[j][2] & 1 and next(t for t in common if t in other) == token:
+                pairs.append((cls, rows[j][0]))
     return pairs
 
 
 def small_meeting(token: int, rows: list[tuple], left: int, right: int) -> list[tuple[int, int]]:
-    """As `meeting`, for a few members: rows are (cls, block, role, level, own, next, common as a list)."""
-    pairs, held = [], [set(r[6]) for r in rows]
-    for i, (cls, block, role, level, own, after, common) in enumerate(rows):
-        if not role & 10:
+    """As `meeting`, for a few members."""
+    pairs, held = [], [dict(zip(r[5], r[6], strict=True)) for r in rows]
+    for i, (cls, block, role, size, missed, common, _) in enumerate(rows):
+        if not role & 2:
             continue
-        for j, (other, block_j, role_j, level_j, own_j, after_j, _) in enumerate(rows):
-            at = max(level, level_j)
-            if i == j or cls == other or not level <= at <= level + 1 or at > level_j + 1 or token & ((1 << at) - 1):
-                continue
-            if not ((block == left and block_j == right) or (block == right and block_j == left)):
-                continue
-            size, size_j = (own if at == level else after), (own_j if at == level_j else after_j)
-            if (size, cls) > (size_j, other) or not (role >> (2 * (at - level))) & 2 or not (role_j >> (2 * (at - level_j))) & 3:
+        for j, (other, block_j, role_j, size_j, *_) in enumerate(rows):
+            if not role_j & 1 or (size, cls) >= (size_j, other) or not ((block == left and block_j == right) or (block == right and block_j == left)):
                 continue
-            shared = held[i] & held[j]
-            if at != level or at != level_j:
-                shared = {x for x in shared if not x & ((1 << at) - 1)}
-            x, u = len(shared), size + size_j - len(shared)
-            if x >= THRESHOLD * u - Z * math.sqrt(THRESHOLD * (1 - THRESHOLD) * u) and next(t for t in common if t in shared) == token:
+            shared = held[i].keys() & held[j].keys()
+            x = sum(held[i][t] for t in shared) + missed
+            if enough(x, size, size_j) and next(t for t in common if t in shared) == token:
                 pairs.append((cls, other))
     return pairs
 
 
-def candidate_pairs(sketched: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(a, b): pairs of classes in reach of the threshold."""
-    own = sketched.filter("tokens is not null")
-    postings = own.select(F.explode("tokens").alias("token"), "cls", "level", "own", "next")
-    df = postings.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    common = postings.join(df, "token").groupBy("cls", "level", "own", "next").agg(F.collect_set(F.struct("df", "token")).alias("common"))
-    prefix = staged(_prefixes(common), "prefix")
+def candidate_pairs(sketched: DataFrame, block: int = BLOCK, buckets: int = 1) -> DataFrame:
+    """(a, b): pairs of classes that reach the threshold in a part; buckets as in `sketches`."""
+    lists = inverted_lists(sketched, buckets)
+    postings = lists.select("token", "part", "weight", F.size("cls").alias("df"), F.explode(F.arrays_zip("cls", "size", "lost")).alias("m")).select("token", "part", "weight", "df", "m.*")
+    common = postings.groupBy("part", "cls", "size", "lost").agg(F.sum("weight").alias("n"), F.collect_list(F.struct("df", "token", "weight")).alias("common"))
+    # a text shares at least as much of its substrings with any partner
+    prefix = staged(_prefixes(common.filter(F.col("n") + F.col("lost") >= F.lit(THRESHOLD) * F.col("size")).select("cls", "size", "lost", "common")), "prefix")
     # A meeting with more members than a block is split into blocks, and each two blocks meet in a task of their own.
     large = prefix.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > block)
     blocks = bounded_broadcast(staged(large.select("token", F.ceil(F.col("n") / block).cast("int").alias("n_blocks")), "large"))
     members = prefix.join(blocks, "token", "left").withColumn("n_blocks", F.coalesce("n_blocks", F.lit(1)))
     members = members.withColumn("block", F.pmod(F.xxhash64("cls"), F.col("n_blocks")).cast("int"))
     members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
-    members = members.select("token", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "block", "role", "cls", "level", "own", "next", "common")
+    members = members.select("token", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "block", "role", "cls", "size", "lost", "common", "weights")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs: list[tuple[int, int]] = []
@@ -252,14 +284,9 @@ def candidate_pairs(sketched: DataFrame, block: int = BLOCK) -> DataFrame:
         key = None
 
         def close() -> None:
-            if len(group) > 1 and any(r[2] & 10 for r in group):
+            if len(group) > 1 and any(r[2] & 2 for r in group):
                 unique = list({(r[0], r[1]): r for r in group}.values())
-                if len(unique) <= FEW:
-                    pairs.extend(small_meeting(*key[:1], unique, *key[1:]))
-                else:
-                    names = ("cls", "block", "role", "level", "own", "next")
-                    members = [dict(zip(names, r, strict=False)) | {"common": np.array(r[6], np.int64)} for r in unique]
-                    pairs.extend(meeting(key[0], members, {key[1]}, {key[2]}))
+                pairs.extend((small_meeting if len(unique) <= FEW else meeting)(key[0], unique, *key[1:]))
             group.clear()
 
         def flush() -> pa.RecordBatch:
@@ -269,14 +296,12 @@ def candidate_pairs(sketched: DataFrame, block: int = BLOCK) -> DataFrame:
 
         for batch in batches:
             keys = list(zip(*(batch.column(n).to_pylist() for n in ("token", "left", "right")), strict=True))
-            rest = list(zip(*(batch.column(n).to_pylist() for n in ("cls", "block", "role", "level", "own", "next")), strict=True))
-            lists = batch.column("common")
-            values, offsets = lists.values, lists.offsets.to_pylist()
+            rest = list(zip(*(batch.column(n).to_pylist() for n in ("cls", "block", "role", "size", "lost", "common", "weights")), strict=True))
             for i, now in enumerate(keys):
                 if key != now:
                     close()
                     key = now
-                group.append((*rest[i], values[offsets[i] : offsets[i + 1]].to_numpy().tolist()))
+                group.append(rest[i])
             if len(pairs) > 50_000:
                 yield flush()
         close()
@@ -309,21 +334,38 @@ def exact_similarity(pairs: DataFrame, texts: DataFrame, width: int = WIDTH) ->
     return both.mapInArrow(run, "a long, b long, similarity double")
 
 
+def memberships(texts: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+    """(id, cls) of each text with at least `min_chars` letters and digits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, classes = [], []
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if text is not None and len(text) >= min_chars and len(codes := letters(text)) >= min_chars:
+                    ids.append(key)
+                    classes.append(text_key(codes))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(classes, pa.int64())], ["id", "cls"])
+
+    return texts.mapInArrow(run, "id long, cls long")
+
+
 def near_duplicate_classes(texts: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """Membership (id, cls) of every text that is long enough, and links (a, b, similarity) between classes.
 
     texts has the columns id (long) and text. Null and short texts are in no class, repeated rows count once, exact copies share
-    a class. Links hold every pair of classes at the threshold (but for the sketches' chance of a miss, see above); copies
-    aren't expanded into pairs.
+    a class. Links hold every pair of classes at the threshold; copies aren't expanded into pairs.
     """
-    sketched = staged(sketches(texts.select("id", "text")), "sketches")
-    pairs = staged(candidate_pairs(sketched), "pairs")
+    texts = texts.select("id", "text")
+    members = staged(memberships(texts), "classes")
+    length = texts.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    buckets = 1 << (length // BUCKET).bit_length()
+    pairs = staged(candidate_pairs(sketches(texts, buckets), buckets=buckets), "pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-    one = staged(sketched.join(wanted, "cls").groupBy("cls").agg(F.min("id").alias("id")), "wanted")
+    one = staged(members.join(wanted, "cls").groupBy("cls").agg(F.min("id").alias("id")), "wanted")
     small = bounded_broadcast(one, 1_000_000)  # 16 bytes a row
-    chosen = staged(texts.select("id", "text").join(small, "id").dropDuplicates(["cls"]).select("cls", "text"), "texts")
+    chosen = staged(texts.join(small, "id").dropDuplicates(["cls"]).select("cls", "text"), "texts")
     links = staged(exact_similarity(pairs, chosen).filter(F.col("similarity") >= threshold), "links")
-    return sketched.select("id", "cls").distinct(), links
+    return members.distinct(), links
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -123,6 +123,21 @@ def test_large_and_small_meetings_agree(spark, monkeypatch) -> None:  # noqa: AN
     assert few == many and few
 
 
+@pytest.mark.parametrize(("bucket", "parts"), [(10_000_000, 16), (1000, 16), (500, 2)])
+def test_no_link_is_lost(spark, monkeypatch, bucket: int, parts: int) -> None:  # noqa: ANN001
+    """Pairs just above the threshold, whose samples of substrings have little in common."""
+    monkeypatch.setattr(near_duplicates, "BUCKET", bucket, raising=False)
+    monkeypatch.setattr(near_duplicates, "PARTS", parts, raising=False)
+    texts = {}
+    for seed in (4275, 8664, 29360):
+        rng = random.Random(seed)
+        common, *ends = ("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=k)) for k in (560, 260, 260))
+        texts |= {2 * seed: common + ends[0], 2 * seed + 1: common + ends[1]}
+    members, links = near_duplicate_classes(spark.createDataFrame(list(texts.items()), "id long, text string"))
+    of = {r["cls"]: r["id"] for r in members.collect()}
+    assert {tuple(sorted((of[r["a"]], of[r["b"]]))) for r in links.collect()} == brute_pairs(texts) == {(2 * s, 2 * s + 1) for s in (4275, 8664, 29360)}
+
+
 def test_t_occurrences_against_counting() -> None:
     rng = np.random.default_rng(5)
     for _ in range(50):
