@@ -1,10 +1,10 @@
 """Problem 5: the article of a page, without its site's template.
 
 The template of a host is deduced from its pages. Tokens are lines: by their normalised text, and, for lines that are links, trails
-or by-lines, by their shape with words and numbers as slots. Tokens that occur on the same pages form an equivalence class (equal
-occurrence vectors, told by their size and the sum of their pages' hashes); frequent classes are valid if their tokens keep their
-order, and make up the template. A slot that a template line opens without a blank line (comments, lists of links) nests in
-it. What remains is the article. Copies of a page are counted once, so that they don't become a template.
+or by-lines, by their shape with words and numbers as slots. Tokens that occur on enough of the host's pages make up the template;
+the equivalence classes of tokens with equal occurrence vectors are formed, but neither checked for their order nor nested. Lines that
+follow a template line without a blank line (comments, lists of links) belong to it. What remains is the article. Copies of a page
+are counted once, so that they don't become a template.
 """
 
 from __future__ import annotations
