@@ -29,12 +29,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: `spark.checkpoint.dir`, or a local one where that is unset (tests)."""
+    """This application's folder in the one that all executors share, `spark.checkpoint.dir`; it is deleted when the application ends.
+
+    Where the setting is missing, a session on one machine gets a temporary folder, and one on a cluster an error.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
-        folder = os.path.join(tempfile.gettempdir(), f"pagewright-{spark.sparkContext.applicationId}")
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="pagewright-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+    own = f"{folder.rstrip('/')}/pagewright-{spark.sparkContext.applicationId}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(own)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return own
 
 
 def staged(df: DataFrame, label: str = "stage", partition_by: str | None = None) -> DataFrame:
@@ -45,9 +53,10 @@ def staged(df: DataFrame, label: str = "stage", partition_by: str | None = None)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+def bounded_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS, sized_by: DataFrame | None = None) -> DataFrame:
     """`df` with a broadcast hint if it has at most `max_rows` rows, else `df` itself, for a shuffled join.
 
-    Pass a table that is cheap to count, such as one from `staged`.
+    Pass a table that is cheap to count, such as one from `staged`, whose files hold their numbers of rows. sized_by: the table
+    whose rows tell the size, where rows of `df` are lists of them.
     """
-    return F.broadcast(df) if len(df.limit(max_rows + 1).select(F.lit(1)).toArrow()) <= max_rows else df
+    return F.broadcast(df) if (df if sized_by is None else sized_by).count() <= max_rows else df
