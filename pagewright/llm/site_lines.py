@@ -1,40 +1,118 @@
 """Problem 4: lines repeated across one site's pages.
 
-Every line is parsed down a token tree of fixed depth: site, number of tokens, first tokens; the other slots of a template are
-wildcards, and so is a token with digits. A node's count is added up over partitions, which merges the trees; nodes that
-can't reach the thresholds are dropped with all their lines. The lines under the remaining nodes are then counted exactly, by
-site and normalised line, over distinct pages.
+Every line is parsed into a template by a token tree of fixed depth: site, number of tokens, first tokens; tokens with digits are
+wildcard slots.
+
+1. Each partition grows the trees of its pages and counts the pages at their leaves; the trees are merged by adding up. Leaves that can't
+   cover enough pages are cut off.
+2. The lines at the leaves left are parsed into one template for each leaf: a position whose token differs between lines is a
+   wildcard slot, all others are constants. Templates of partitions are merged position by position, in any order.
+3. A template's lines are told apart by what fills its slots. A template with its filling that covers enough distinct pages of its
+   site is repeated, and its lines are removed.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.functions.text import has_letters, normal_line, site_of
+from pagewright.functions.text import site_of
 from pagewright.storage import bounded_broadcast, staged, table
 
 #: A line is repeated if it is on at least MIN_PAGES pages of the site and on at least MIN_SHARE of the site's pages.
 MIN_PAGES, MIN_SHARE, MIN_LETTERS = 10, 0.15, 10
 #: Leading tokens that a path of the tree tells apart.
 DEPTH = 3
+#: Leaves of a partition's trees that are held in memory; they are merged with others whenever they come.
+LEAVES = 200_000
+
+# Unicode white space; str.split() takes four separators more.
+_WHITE = [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+_SPACE = re.compile(f"[{''.join(map(chr, _WHITE))}]+")
+_SEPARATOR = re.compile("[" + "".join(map(chr, range(0x1C, 0x20))) + "]")
+_DIGITS = re.compile(r"\d+")
+
+
+def line_tokens(line: str, min_letters: int = MIN_LETTERS) -> list[str] | None:
+    """Lower-case tokens of a line with `0` for each run of digits; None if it has too few letters."""
+    if sum(map(str.isalpha, line[:80])) < min_letters and (len(line) <= 80 or sum(map(str.isalpha, line)) < min_letters):
+        return None
+    line = _DIGITS.sub("0", line.lower())
+    return [t for t in _SPACE.split(line) if t] if _SEPARATOR.search(line) else line.split()
+
+
+def tree_path(tokens: list[str], depth: int = DEPTH) -> int:
+    """Key of the path from the site's root to a leaf: number of tokens, then the first `depth` tokens, wildcards for those with digits."""
+    return xxhash.xxh3_64_intdigest(f"{len(tokens)} {' '.join('<*>' if '0' in t else t for t in tokens[:depth])}") >> 1
+
+
+def site_rows(pages: DataFrame, text: str, url: str, page: str) -> DataFrame:
+    """(site, page_id, text) of the pages that have a site and a text."""
+    return pages.select(site_of(F.col(url)).alias("site"), F.col(page).alias("page_id"), F.col(text).alias("text")).filter("site is not null and text is not null")
+
+
+def tree_leaves(rows: DataFrame, min_letters: int = MIN_LETTERS) -> DataFrame:
+    """(site, path, n): the merged trees' leaves with their number of rows, which is at least that of distinct pages."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trees: dict[str, dict[int, int]] = {}
+        size = 0
+
+        def grown() -> pa.RecordBatch:
+            leaves = [(site, path, n) for site, tree in trees.items() for path, n in tree.items()]
+            trees.clear()
+            columns = list(zip(*leaves, strict=True)) if leaves else [(), (), ()]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64()), strict=True)], ["site", "path", "n"])
+
+        for batch in batches:
+            for site, text in zip(batch.column("site").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                tree = trees.setdefault(site, {})
+                before = len(tree)
+                for path in {tree_path(t) for line in text.split("\n") if (t := line_tokens(line, min_letters))}:
+                    tree[path] = tree.get(path, 0) + 1
+                size += len(tree) - before
+                if size > LEAVES:
+                    size = 0
+                    yield grown()
+        yield grown()
+
+    return rows.select("site", "text").mapInArrow(run, "site string, path long, n long").groupBy("site", "path").agg(F.sum("n").alias("n"))
+
+
+def leaf_lines(rows: DataFrame, leaves: DataFrame, min_letters: int = MIN_LETTERS) -> DataFrame:
+    """(site, path, page_id, line_no, tokens): the lines at the given leaves (site, path), a key for each token."""
+    trees = leaves.groupBy("site").agg(F.collect_set("path").alias("tree"))  # a page's lines over the least share of pages, at most
+    joined = rows.join(bounded_broadcast(trees, sized_by=leaves), "site").withColumn("page_id", F.col("page_id").cast("long"))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, set[int]] = {}
+        for batch in batches:
+            out: list[list] = [[] for _ in range(5)]
+            for i, (site, page, text) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("site", "page_id", "text")), strict=True)):
+                if site not in known:
+                    if len(known) > 5000:
+                        known.clear()
+                    known[site] = set(batch.column("tree")[i].as_py())
+                tree = known[site]
+                for number, line in enumerate(text.split("\n")):
+                    if (tokens := line_tokens(line, min_letters)) and (path := tree_path(tokens)) in tree:
+                        for column, x in zip(out, (site, path, page, number, [xxhash.xxh3_64_intdigest(t) >> 1 for t in tokens]), strict=True):
+                            column.append(x)
+            types = (pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], ["site", "path", "page_id", "line_no", "tokens"])
 
-def tree_path(line: Column, depth: int = DEPTH) -> Column:
-    """Hash of the path of a normalised line: number of tokens, then the first `depth` tokens, `<*>` for those with digits."""
-    tokens = F.split(line, " ")
-    head = F.transform(F.slice(tokens, 1, depth), lambda t: F.when(t.contains("0"), F.lit("<*>")).otherwise(t))
-    return F.xxhash64(F.size(tokens), F.concat_ws(" ", head))
+    return joined.select("site", "page_id", "text", "tree").mapInArrow(run, "site string, path long, page_id long, line_no int, tokens array<long>")
 
 
-def page_lines(pages: DataFrame, text: str = "content", url: str = "url", page: str = "page_id", min_letters: int = MIN_LETTERS) -> DataFrame:
-    """(site, page_id, line_no, line_key, node) for each line with enough letters."""
-    lines = pages.select(site_of(F.col(url)).alias("site"), F.col(page).alias("page_id"), F.posexplode(F.split(F.col(text), "\n")).alias("line_no", "line"))
-    lines = lines.filter(F.col("site").isNotNull() & has_letters(F.col("line"), min_letters))
-    lines = lines.withColumn("line", normal_line(F.col("line")))
-    # two hashes of different kinds tell lines apart without moving their text
-    key = F.struct(F.xxhash64("line").alias("a"), F.hash("line").alias("b"))
-    return lines.select("site", "page_id", "line_no", key.alias("line_key"), tree_path(F.col("line")).alias("node"))
+def merged_templates(lines: DataFrame) -> DataFrame:
+    """(site, path, slots): the template of each leaf, as the positions of its wildcard slots; all other positions are constants."""
+    places = lines.select("site", "path", F.posexplode("tokens").alias("place", "token")).groupBy("site", "path", "place").agg(F.min("token").alias("low"), F.max("token").alias("high"))
+    return places.groupBy("site", "path").agg(F.array_sort(F.collect_list(F.when(F.col("low") != F.col("high"), F.col("place")))).alias("slots"))
 
 
 def site_sizes(pages: DataFrame, url: str = "url", page: str = "page_id") -> DataFrame:
@@ -51,16 +129,16 @@ def repeated_lines(
     Only the named columns are read, so others may clash with any name used here.
     """
     sizes = bounded_broadcast(staged(site_sizes(pages, url, page), "sites"))
-    lines = staged(page_lines(pages, text, url, page, min_letters), "lines")
-    # Counts of rows are at least the counts of distinct pages, so that no node with a repeated line is lost; they are added
-    # up before the shuffle, and a hot site costs one row for each node and partition.
-    nodes = lines.groupBy("site", "node").agg(F.count(F.lit(1)).alias("n")).join(sizes, "site")
+    rows = site_rows(pages, text, url, page)
     enough = lambda n: (n >= min_pages) & (n >= min_share * F.col("n_pages"))
-    hot = bounded_broadcast(staged(nodes.filter(enough(F.col("n"))).select("site", "node"), "nodes"))
-    near = lines.join(hot, ["site", "node"], "left_semi")
-    counts = near.groupBy("site", "line_key").agg(F.count_distinct("page_id").alias("n")).join(sizes, "site")
-    found = bounded_broadcast(staged(counts.filter(enough(F.col("n"))).select("site", "line_key"), "repeated"))
-    return near.join(found, ["site", "line_key"], "left_semi").select("page_id", "line_no").distinct()
+    leaves = staged(tree_leaves(rows, min_letters).join(sizes, "site").filter(enough(F.col("n"))).select("site", "path"), "leaves")
+    lines = staged(leaf_lines(rows, leaves, min_letters), "lines")
+    templates = bounded_broadcast(staged(merged_templates(lines), "templates"))
+    # what fills the slots, as one key; a template without slots has one filling
+    filled = lines.join(templates, ["site", "path"]).select("site", "path", "page_id", "line_no", F.xxhash64(F.transform("slots", lambda i: F.get("tokens", i))).alias("filling"))
+    counts = filled.groupBy("site", "path", "filling").agg(F.count_distinct("page_id").alias("n")).join(sizes, "site")
+    found = bounded_broadcast(staged(counts.filter(enough(F.col("n"))).select("site", "path", "filling"), "repeated"))
+    return filled.join(found, ["site", "path", "filling"], "left_semi").select("page_id", "line_no").distinct()
 
 
 def without_repeated_lines(pages: DataFrame, text: str = "content", url: str = "url", page: str = "page_id", **thresholds: float) -> DataFrame:
@@ -80,7 +158,7 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p4_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each page's content without the lines that its site repeats."""
     pages = table(spark, sf_dir, "formatted_pages").select("page_id", "url", "content")
-    return without_repeated_lines(pages).select("page_id", "content").distinct()
+    return without_repeated_lines(pages.dropDuplicates(["page_id"])).select("page_id", "content")
 
 
 QUERIES = {"p4_found": p4_found, "p4_cleaned": p4_cleaned}
