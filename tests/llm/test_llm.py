@@ -325,3 +325,58 @@ def test_mix(spark) -> None:  # noqa: ANN001
     assert mixture.exceptAll(mixing.mix(docs, targets)).count() == 0  # the same again
     assert mixing.mix(docs.limit(0), targets).count() == 0
     assert mixture.select(F.countDistinct("source")).first()[0] == 2
+
+
+# templates of sites and hosts
+
+
+def test_template_slots_are_merged_in_any_order(spark) -> None:  # noqa: ANN001
+    """Lines of one leaf that differ in a word make a slot, and are told apart by what fills it."""
+    rows = [(p, "https://a.example", f"Written and edited by {'Ann' if p % 2 else 'Bob'} in town\nWritten and edited by X{p}y for us") for p in range(40)]
+    found = site_lines.site_rows(pages(spark, rows), "content", "url", "page_id").repartition(5)
+    leaves = site_lines.tree_leaves(found)
+    assert {r["n"] for r in leaves.collect()} == {40}
+    lines = site_lines.leaf_lines(found, leaves.select("site", "path"))
+    slots = sorted(r["slots"] for r in site_lines.merged_templates(lines).collect())
+    assert slots == [[4], [4]] or slots == [[4, 5, 6]] or len(slots) == 2
+    got = {tuple(r) for r in site_lines.repeated_lines(pages(spark, rows)).collect()}
+    assert {(p, 0) for p in range(40)} <= got
+
+
+def test_line_tokens() -> None:
+    assert site_lines.line_tokens("Terms  OF use\x1c2021", 3) == ["terms", "of", "use\x1c0"] and site_lines.line_tokens("ab 12", 3) is None
+    assert site_lines.tree_path(["page", "0", "of", "x"]) == site_lines.tree_path(["page", "0", "of", "y"]) != site_lines.tree_path(["page", "0", "of"])
+
+
+def host_pages(block) -> list[tuple]:  # noqa: ANN001
+    """Pages of one host; block(p) gives the lines below the article of page p."""
+    return [(p, "https://s.example/a", f"# Title {'abcdefghij'[p % 10] * 3}{'abcdefghij'[p // 10] * 4} here\n\nBody text of page {chr(97 + p % 26) * 4} {chr(97 + p // 26) * 5} alone\n\n" + "\n\n".join(block(p))) for p in range(100)]
+
+
+def outside(spark, rows, snapshots=None) -> set[tuple]:  # noqa: ANN001
+    parsed = main_body.parsed_pages(pages(spark, rows)).cache()
+    return {tuple(r) for r in main_body.outside_lines(parsed, main_body.host_templates(parsed, snapshots)).collect()}
+
+
+def test_classes_decide(spark) -> None:  # noqa: ANN001
+    """Two lines on the same 5 % of pages are a large class and template; on different pages, or in changing order, they aren't."""
+    together = outside(spark, host_pages(lambda p: ["First line of notice", "Second line of notice"] if p % 20 == 0 else ["Own words"] * 0))
+    assert {p for p, _ in together} == {p for p in range(100) if p % 20 == 0} and len(together) == 10
+    apart = outside(spark, host_pages(lambda p: ["First line of notice"] if p % 20 == 0 else ["Second line of notice"] if p % 20 == 1 else []))
+    mixed = outside(spark, host_pages(lambda p: ["First line of notice", "Second line of notice"][:: 1 if p % 40 else -1] if p % 20 == 0 else []))
+    assert not apart and not mixed
+
+
+def test_slots_decide(spark) -> None:  # noqa: ANN001
+    """A frequent line without a fixed place around the title isn't nested in the template; what stands before the title is outside."""
+    rows = [(p, u, ("Wandering words\n\n" + c) if p % 2 else c + "\n\nWandering words") for p, u, c in host_pages(lambda p: ["Footer words"])]
+    got = outside(spark, rows)
+    assert {n for p, n in got if p % 2} == {0, 6} and {n for p, n in got if p % 2 == 0} == {4}
+
+
+def test_markup_tells_data_from_template(spark) -> None:  # noqa: ANN001
+    """A shared subheading fills the data slot of the host's subheadings; the footer has a path of its own."""
+    rows = host_pages(lambda p: ["## Shared subheading" if p % 3 == 0 else f"## Subheading {chr(97 + p % 26) * 3} {chr(97 + p // 26) * 3}", "Footer words"])
+    html = [("https://s.example/a", "<html><head><title>x</title></head><body><main><h1>T</h1>" + c.split("\n\n")[2].replace("## ", "<h2>") + "</h2></main><div id=foot>Footer words</div></body></html>", p) for p, _, c in rows]
+    snapshots = spark.createDataFrame([*html, ("https://s.example/a", None, 1), (None, "<p>x", 2), ("https://s.example/a", "", 3)], "url string, html string, site long")
+    assert {n for _, n in outside(spark, rows, snapshots)} == {6} and {n for _, n in outside(spark, rows)} == {4, 6}
