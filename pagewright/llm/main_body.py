@@ -289,8 +289,8 @@ def main_bodies(pages: DataFrame, snapshots: DataFrame | None = None) -> DataFra
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(page_id, line_no) of every non-blank line outside the article, of pages that aren't residue."""
     weights = train(spark, sf_dir)
-    pages = table(spark, sf_dir, "formatted_pages").select("page_id", "url", "content")
-    parsed = staged(parsed_pages(pages.filter(~is_residue(F.col("content"), weights))), "parsed")
+    pages = table(spark, sf_dir, "formatted_pages").select("page_id", "url", "content", "title")
+    parsed = staged(parsed_pages(pages.filter(~is_residue(F.col("content"), weights, F.col("title")))), "parsed")
     return outside_lines(parsed, host_templates(parsed, table(spark, sf_dir, "snapshots").select("url", "html")))
 
 
