@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Most rows that `bounded_broadcast` ships to every executor; callers pass narrow rows (under 200 bytes).
 MAX_BROADCAST_ROWS = 200_000
+#: Spark's setting to delete a query's shuffle files when it ends; what `staged` has written needs them no more.
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def provide_package(spark: SparkSession) -> None:
@@ -47,10 +49,16 @@ def shared_folder(spark: SparkSession) -> str:
 
 def staged(df: DataFrame, label: str = "stage", partition_by: str | None = None) -> DataFrame:
     """`df`, written to the shared folder and read back: later plans start there, so a lost executor costs one task's work."""
-    path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex[:12]}"
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex[:12]}"
     writer = df.write.mode("overwrite").option("compression", "zstd")
-    (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_CLEAN_UP, None)
+    spark.conf.set(_CLEAN_UP, "true")
+    try:
+        (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
+    finally:
+        spark.conf.set(_CLEAN_UP, before) if before is not None else spark.conf.unset(_CLEAN_UP)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def bounded_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS, sized_by: DataFrame | None = None) -> DataFrame:
