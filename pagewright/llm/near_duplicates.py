@@ -3,9 +3,13 @@
 Two texts are near-duplicates if the Jaccard similarity of their sets of substrings reaches a threshold. Exact copies form one
 class. All distinct substrings of a class take part. They are divided into parts by their hashes: a pair at the threshold reaches
 it in one of the parts at least, so that each part can be searched by itself and no pair is lost. In a part, the substrings that the
-same classes have (equal inverted lists) become one list with a weight. Pairs come from a search for T-occurrences over these
-lists, ordered by length: texts meet only at the lists of their prefixes, and in each meeting the short lists are merged and the
-long ones probed (DivideSkip). All pairs found are checked exactly on their whole texts.
+same classes have (equal inverted lists) become one list with a weight.
+
+Pairs come from a search for T-occurrences over these lists (DivideSkip, `divide_skip`): of each text's lists, the longest are set
+aside while they weigh less than the overlap T that it needs; the short ones are merged, and what the merge leaves is looked for in
+the long ones by binary search. A part that fits into a task is searched there. A larger one is divided into buckets: its lists are
+written, and texts meet at the lists of their prefixes, each meeting being searched in the same way. All pairs found are checked
+exactly on their whole texts. Parts are searched in several passes, so that the disk holds the substrings of one pass only.
 """
 
 from __future__ import annotations
@@ -27,8 +31,10 @@ MIN_CHARS, THRESHOLD = 300, 0.5
 BUCKET, PARTS = 10_000_000, 16
 #: Texts of one meeting that a task compares with as many others.
 BLOCK = 4000
-#: Members up to which a meeting is worked through with sets instead of inverted lists.
-FEW = 48
+#: Passes over the texts, each for its share of the parts; fewer use more disk, more hash the texts again.
+PASSES = 2
+#: Places in short lists that are merged at a time.
+MERGED = 4_000_000
 
 
 def least_overlap(size: np.ndarray, smaller: bool, threshold: float = THRESHOLD) -> np.ndarray:
@@ -43,10 +49,10 @@ def enough(x: np.ndarray, a: np.ndarray, b: np.ndarray, threshold: float = THRES
     return x >= threshold * (a + b - x)
 
 
-def sketches(texts: DataFrame, buckets: int = 1, min_chars: int = MIN_CHARS, width: int = WIDTH) -> DataFrame:
+def sketches(texts: DataFrame, buckets: int = 1, min_chars: int = MIN_CHARS, width: int = WIDTH, only: range | None = None) -> DataFrame:
     """(bucket, cls, size, lost, tokens): all distinct substrings of each text with at least `min_chars` letters and digits.
 
-    buckets: a power of two. cls is a 64-bit key of the normalised text, size the number of its substrings in the bucket's part,
+    buckets: a power of two; only: the buckets that are wanted, if not all. cls is a 64-bit key of the normalised text, size the number of its substrings in the bucket's part,
     tokens the 32 bits of their hashes that follow the bucket's, and lost the number of those in the part that fell together by
     that. A class may come again from another partition.
     """
@@ -64,7 +70,13 @@ def sketches(texts: DataFrame, buckets: int = 1, min_chars: int = MIN_CHARS, wid
                     continue
                 if len(seen) < 1_000_000:  # only spares work, later steps don't rely on it
                     seen.add(cls)
-                hashes = np.unique(window_hashes(codes, width))
+                hashes = window_hashes(codes, width)
+                if only is not None:
+                    number = (hashes >> np.uint64(64 - bits)).astype(np.int32) if bits else np.zeros(len(hashes), np.int32)
+                    hashes = hashes[(number >= only.start) & (number < only.stop)]
+                    if not len(hashes):
+                        continue
+                hashes = np.unique(hashes)
                 short = hashes >> np.uint64(32 - bits)
                 places = (short >> np.uint64(32)).astype(np.int32)
                 twice = np.concatenate([[False], short[1:] == short[:-1]])
@@ -183,35 +195,72 @@ def _prefixes(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "token long, role int, cls long, size int, lost int, common array<long>, weights array<long>")
 
 
-def t_occurrences(lists: list[np.ndarray], t: int, n: int, mu: float = 0.02, weights: list[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Records on at least t of the sorted lists of record numbers below n, with their counts; a list counts as often as its weight.
+def divide_skip(owner: np.ndarray, token: np.ndarray, weight: np.ndarray, size: np.ndarray, lost: np.ndarray, threshold: float = THRESHOLD, merged: int = MERGED) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i, j), i < j, of texts whose overlap reaches the threshold, by T-occurrence search with every text as the query.
+
+    Texts are numbered in the order of their sizes. owner and token give the text and the inverted list of each place, lists being
+    numbered from 0; a list counts weight[token] times. lost is added to the overlap of a query.
 
-    The longest lists, as many as DivideSkip's rule says, aren't merged: a record must be on t less their number of the short
-    lists, and is then looked for in the long ones by binary search.
+    A query needs an overlap of T with a text of its size or more. Its longest lists that together weigh less than T are long, the
+    others short. The short lists of many queries are merged in one sort of their places; what is on them as often as T less the
+    weight of the long ones is then looked for in these by binary search, while it can still reach what the pair needs.
     """
-    pairs = sorted(zip(lists, weights or [1] * len(lists), strict=True), key=lambda x: len(x[0]))
-    longest = len(pairs[-1][0]) if pairs else 0
-    most, n_long, weight_long = int(t / (mu * math.log2(max(2, longest)) + 1)), 0, 0
-    while n_long < min(len(pairs), most) and weight_long + pairs[-1 - n_long][1] < t:
-        weight_long += pairs[-1 - n_long][1]
-        n_long += 1
-    short, long = pairs[: len(pairs) - n_long], pairs[len(pairs) - n_long :]
-    merged = np.concatenate([x for x, _ in short]) if short else np.empty(0, int)
-    each = np.repeat([w for _, w in short], [len(x) for x, _ in short]) if short else np.empty(0, int)
-    if len(merged) * 4 > n:
-        counts = np.bincount(merged, each, n).astype(int)
-        found = np.flatnonzero(counts >= max(1, t - weight_long))
-        counts = counts[found]
-    else:
-        found, which = np.unique(merged, return_inverse=True)
-        counts = np.bincount(which, each, len(found)).astype(int)
-        keep = counts >= max(1, t - weight_long)
-        found, counts = found[keep], counts[keep]
-    for one, weight in long:
-        at = np.searchsorted(one, found)
-        counts = counts + (weight * (one[np.minimum(at, len(one) - 1)] == found) if len(one) else 0)
-    keep = counts >= t
-    return found[keep], counts[keep]
+    n = len(size)
+    order = np.lexsort((owner, token))
+    owner, token = owner[order].astype(np.int64), token[order].astype(np.int64)
+    places = token * n + owner
+    length = np.bincount(token, minlength=len(weight))
+    by_text = np.lexsort((token, -length[token], owner))
+    lists, texts = token[by_text], owner[by_text]
+    starts = np.searchsorted(texts, np.arange(n + 1))
+    w = weight[lists].astype(np.int64)
+    total = np.concatenate([[0], np.cumsum(w)])
+    up_to = total[1:] - total[starts[texts]]
+    need = np.maximum(1, least_overlap(size, True, threshold) - lost)
+    long = up_to < need[texts]
+    n_long, weight_long = np.bincount(texts, long, n).astype(np.int64), np.bincount(texts, w * long, n).astype(np.int64)
+    last = np.searchsorted(size, np.floor(size / threshold + 1e-9), "right")  # larger texts can't be partners
+    short = np.flatnonzero(~long)
+    begin = by_text[short] + 1  # partners come after the query in each list
+    end = np.searchsorted(places, lists[short] * n + last[texts[short]])
+    count = np.maximum(0, end - begin)
+    short, begin, count = short[count > 0], begin[count > 0], count[count > 0]
+    found: list[np.ndarray] = []
+    ends = np.cumsum(count)
+    at = 0
+    while at < len(short):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + merged, "right")))
+        to = int(np.searchsorted(texts[short], texts[short[to - 1]], "right"))  # whole queries
+        c = count[at:to]
+        which = np.repeat(np.arange(at, to), c)
+        place = np.arange(len(which)) - np.repeat(np.cumsum(c) - c, c) + begin[which]
+        pair = texts[short[which]] * n + owner[place]
+        order = np.argsort(pair, kind="stable")
+        pair, each = pair[order], w[short[which]][order]
+        at = to
+        heads = np.flatnonzero(np.diff(pair, prepend=-1))
+        pair, x = pair[heads], np.add.reduceat(each, heads) if len(heads) else each
+        i, j = pair // n, pair % n
+        least = np.ceil(threshold * (size[i] + size[j]) / (1 + threshold) - 1e-9).astype(np.int64) - lost[i]
+        rest = weight_long[i].copy()
+        probe = starts[i] + n_long[i] - 1  # from the shortest of the long lists to the longest
+        keep = x + rest >= least
+        while len(i):
+            done = probe < starts[i]
+            found.append(np.stack([i[keep & done], j[keep & done]]))
+            keep &= ~done
+            i, j, x, rest, probe, least = (v[keep] for v in (i, j, x, rest, probe, least))
+            if not len(i):
+                break
+            wanted = lists[probe] * n + j
+            there = np.searchsorted(places, wanted)
+            hit = places[np.minimum(there, len(places) - 1)] == wanted
+            x = x + w[probe] * hit
+            rest = rest - w[probe]
+            probe = probe - 1
+            keep = x + rest >= least
+    both = np.concatenate(found, 1) if found else np.empty((2, 0), np.int64)
+    return both[0], both[1]
 
 
 def meeting(token: int, rows: list[tuple], left: int, right: int) -> list[tuple[int, int]]:
@@ -220,51 +269,102 @@ def meeting(token: int, rows: list[tuple], left: int, right: int) -> list[tuple[
     rows: (cls, block, role, size, lost, common, weights); left, right: the blocks whose members are paired, equal in a meeting of
     one block.
     """
-    pairs = []
     rows = sorted(rows, key=lambda r: (r[3], r[0]))
-    sizes, lost, block = (np.array([r[k] for r in rows]) for k in (3, 4, 1))
-    at = np.repeat(np.arange(len(rows)), [len(r[5]) for r in rows])
-    tokens = np.concatenate([np.array(r[5], np.int64) for r in rows])
-    order = np.lexsort((at, tokens))
-    tokens, at = tokens[order], at[order]
-    distinct, starts = np.unique(tokens, return_index=True)
-    where = {int(x): (int(a), int(b)) for x, a, b in zip(distinct, starts, np.append(starts[1:], len(at)), strict=True)}
-    for k, (cls, _, role, size, missed, common, weights) in enumerate(rows):
-        if not role & 2 or k + 1 == len(rows):
-            continue
-        lists = [at[a:b] for a, b in (where[x] for x in common)]
-        # partners come later in the order by size, so that this text is the smaller one
-        lists = [x[np.searchsorted(x, k, "right") :] for x in lists]
-        used = [(x, w) for x, w in zip(lists, weights, strict=True) if len(x)]
-        found, counts = t_occurrences([x for x, _ in used], max(1, int(least_overlap(size, True)) - missed), len(rows), weights=[w for _, w in used])
-        ok = enough(counts + missed, size, sizes[found])
-        ok &= ((block[k] == left) & (block[found] == right)) | ((block[k] == right) & (block[found] == left))
-        for j in found[ok]:
-            other = set(rows[j][5])
-            # each list of common tokens is in the order of the prefixes: the first token of both is where they meet first
-            if rows[j][2] & 1 and next(t for t in common if t in other) == token:
-                pairs.append((cls, rows[j][0]))
+    size, lost = (np.array([r[k] for r in rows]) for k in (3, 4))
+    owner = np.repeat(np.arange(len(rows)), [len(r[5]) for r in rows])
+    distinct, number = np.unique(np.concatenate([np.array(r[5], np.int64) for r in rows]), return_inverse=True)
+    weight = np.zeros(len(distinct), np.int64)
+    weight[number] = np.concatenate([np.array(r[6], np.int64) for r in rows])
+    held = [set(r[5]) for r in rows]
+    pairs = []
+    for i, j in zip(*(x.tolist() for x in divide_skip(owner, number, weight, size, lost)), strict=True):
+        blocks = (rows[i][1], rows[j][1])
+        # each list of common tokens is in the order of the prefixes: the first token of both is where they meet first
+        if rows[i][2] & 2 and rows[j][2] & 1 and blocks in ((left, right), (right, left)) and next(t for t in rows[i][5] if t in held[j]) == token:
+            pairs.append((rows[i][0], rows[j][0]))
     return pairs
 
 
-def small_meeting(token: int, rows: list[tuple], left: int, right: int) -> list[tuple[int, int]]:
-    """As `meeting`, for a few members."""
-    pairs, held = [], [dict(zip(r[5], r[6], strict=True)) for r in rows]
-    for i, (cls, block, role, size, missed, common, _) in enumerate(rows):
-        if not role & 2:
-            continue
-        for j, (other, block_j, role_j, size_j, *_) in enumerate(rows):
-            if not role_j & 1 or (size, cls) >= (size_j, other) or not ((block == left and block_j == right) or (block == right and block_j == left)):
-                continue
-            shared = held[i].keys() & held[j].keys()
-            x = sum(held[i][t] for t in shared) + missed
-            if enough(x, size, size_j) and next(t for t in common if t in shared) == token:
-                pairs.append((cls, other))
-    return pairs
+def part_pairs(cls: np.ndarray, size: np.ndarray, lost: np.ndarray, counts: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of classes that reach the threshold in a part. cls, size, lost and counts: a row of the part each; tokens: those of all rows."""
+    distinct, first, number = np.unique(cls, return_index=True, return_inverse=True)
+    by_size = np.lexsort((distinct, size[first]))
+    rank = np.empty(len(by_size), np.int64)
+    rank[by_size] = np.arange(len(by_size))
+    distinct, first = distinct[by_size], first[by_size]
+    size, lost = size[first].astype(np.int64), lost[first].astype(np.int64)
+    packed = tokens.view(np.uint32).astype(np.uint64) << np.uint64(32)
+    packed |= np.repeat(rank[number].astype(np.uint64), counts)
+    packed.sort()
+    keep = np.ones(len(packed), bool)
+    keep[1:] = packed[1:] != packed[:-1]  # a class that came from two partitions
+    packed = packed[keep]
+    while True:  # a class that shares less than the threshold with all others has no partner, and is none
+        token = (packed >> np.uint64(32)).astype(np.uint32)
+        starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.empty(0, int)
+        n = np.diff(np.append(starts, len(token)))
+        owner = (packed & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        common = np.repeat(n > 1, n)
+        shared = np.bincount(owner, common, len(distinct))
+        keep = common & (shared + lost >= least_overlap(size, False))[owner]
+        if keep.all():
+            break
+        packed = packed[keep]
+    if not len(packed):
+        return distinct[:0], distinct[:0]
+    with np.errstate(over="ignore"):  # equal lists become one
+        key = mix(np.add.reduceat(mix(owner.astype(np.uint64) + np.uint64(1)), starts) + n.astype(np.uint64))
+    _, which, weight = np.unique(key, return_index=True, return_counts=True)
+    ends = np.cumsum(n[which])
+    place = np.arange(ends[-1]) - np.repeat(ends - n[which], n[which]) + np.repeat(starts[which], n[which])
+    i, j = divide_skip(owner[place], np.repeat(np.arange(len(which)), n[which]), weight, size, lost)
+    return distinct[i], distinct[j]
+
+
+def pairs_in_parts(sketched: DataFrame, first: int, n_parts: int) -> DataFrame:
+    """(x, y): pairs of classes that reach the threshold in one of the parts from `first` on, each of which is one bucket and fits into a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[tuple] = []
+        last = None
+
+        def close() -> pa.RecordBatch:
+            x, y = part_pairs(*(np.concatenate([p[k] for p in parts]) for k in range(5)))
+            parts.clear()
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["x", "y"])
+
+        for batch in batches:
+            bucket = batch.column("bucket").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if a == b:
+                    continue
+                if bucket[a] != last and parts:
+                    yield close()
+                last = bucket[a]
+                some = batch.slice(a, b - a)
+                lists = some.column("tokens")
+                parts.append((*(some.column(c).to_numpy().copy() for c in ("cls", "size", "lost")), np.diff(lists.offsets.to_numpy()), lists.flatten().to_numpy().copy()))
+        if parts:
+            yield close()
+
+    return sketched.repartitionById(n_parts, F.col("bucket") - first).mapInArrow(run, "x long, y long")
 
 
-def candidate_pairs(sketched: DataFrame, block: int = BLOCK, buckets: int = 1) -> DataFrame:
+def candidate_pairs(texts: DataFrame, buckets: int = 1, block: int = BLOCK, passes: int = PASSES) -> DataFrame:
     """(a, b): pairs of classes that reach the threshold in a part; buckets as in `sketches`."""
+    if buckets > PARTS:
+        return pairs_at_lists(sketches(texts, buckets), block, buckets)
+    each = -(-buckets // passes)
+    found = [staged(pairs_in_parts(sketches(texts, buckets, only=range(k, min(buckets, k + each))), k, min(each, buckets - k)), "part") for k in range(0, buckets, each)]
+    pairs = found[0]
+    for more in found[1:]:
+        pairs = pairs.unionByName(more)
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def pairs_at_lists(sketched: DataFrame, block: int = BLOCK, buckets: int = 1) -> DataFrame:
+    """(a, b) as `candidate_pairs`, for parts of several buckets: texts meet at the lists of their prefixes."""
     lists = inverted_lists(sketched, buckets)
     postings = lists.select("token", "part", "weight", F.size("cls").alias("df"), F.explode(F.arrays_zip("cls", "size", "lost")).alias("m")).select("token", "part", "weight", "df", "m.*")
     common = postings.groupBy("part", "cls", "size", "lost").agg(F.sum("weight").alias("n"), F.collect_list(F.struct("df", "token", "weight")).alias("common"))
@@ -286,7 +386,7 @@ def candidate_pairs(sketched: DataFrame, block: int = BLOCK, buckets: int = 1) -
         def close() -> None:
             if len(group) > 1 and any(r[2] & 2 for r in group):
                 unique = list({(r[0], r[1]): r for r in group}.values())
-                pairs.extend((small_meeting if len(unique) <= FEW else meeting)(key[0], unique, *key[1:]))
+                pairs.extend(meeting(key[0], unique, *key[1:]))
             group.clear()
 
         def flush() -> pa.RecordBatch:
@@ -359,7 +459,7 @@ def near_duplicate_classes(texts: DataFrame, threshold: float = THRESHOLD) -> tu
     members = staged(memberships(texts), "classes")
     length = texts.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     buckets = 1 << (length // BUCKET).bit_length()
-    pairs = staged(candidate_pairs(sketches(texts, buckets), buckets=buckets), "pairs")
+    pairs = staged(candidate_pairs(texts, buckets), "pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
     one = staged(members.join(wanted, "cls").groupBy("cls").agg(F.min("id").alias("id")), "wanted")
     small = bounded_broadcast(one, 1_000_000)  # 16 bytes a row

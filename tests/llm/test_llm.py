@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagewright.llm import encoding, language, main_body, mixing, near_duplicates, packing, residue, sentences, site_lines
-from pagewright.llm.near_duplicates import least_overlap, near_duplicate_classes, t_occurrences
+from pagewright.llm.near_duplicates import least_overlap, near_duplicate_classes
 from pagewright.llm.shingles import letters, window_hashes
 from pagewright.llm.tokens import joined, words
 
@@ -114,13 +114,14 @@ def test_near_duplicates_against_brute_force(spark) -> None:  # noqa: ANN001
     assert empty.count() == 0 and none.count() == 0
 
 
-def test_large_and_small_meetings_agree(spark, monkeypatch) -> None:  # noqa: ANN001
+def test_parts_and_meetings_agree(spark) -> None:  # noqa: ANN001
     df = spark.createDataFrame(list(near_texts().items()), "id long, text string")
+    whole = {tuple(r) for r in near_duplicates.candidate_pairs(df).collect()}
+    parts = {tuple(r) for r in near_duplicates.candidate_pairs(df, 8, passes=3).collect()}
     sketched = near_duplicates.sketches(df).cache()
-    few = {tuple(r) for r in near_duplicates.candidate_pairs(sketched).collect()}
-    monkeypatch.setattr(near_duplicates, "FEW", 0)
-    many = {tuple(r) for r in near_duplicates.candidate_pairs(sketched, block=2).collect()}
-    assert few == many and few
+    met = {tuple(r) for r in near_duplicates.pairs_at_lists(sketched).collect()}
+    blocks = {tuple(r) for r in near_duplicates.pairs_at_lists(sketched, block=2).collect()}
+    assert whole == met == blocks and whole and whole <= parts
 
 
 @pytest.mark.parametrize(("bucket", "parts"), [(10_000_000, 16), (1000, 16), (500, 2)])
@@ -138,16 +139,21 @@ def test_no_link_is_lost(spark, monkeypatch, bucket: int, parts: int) -> None:
     assert {tuple(sorted((of[r["a"]], of[r["b"]]))) for r in links.collect()} == brute_pairs(texts) == {(2 * s, 2 * s + 1) for s in (4275, 8664, 29360)}
 
 
-def test_t_occurrences_against_counting() -> None:
+def test_divide_skip_against_counting() -> None:
     rng = np.random.default_rng(5)
-    for _ in range(50):
-        n = int(rng.integers(5, 300))
-        lists = [np.sort(rng.choice(n, int(rng.integers(1, n)), replace=False)) for _ in range(int(rng.integers(1, 20)))]
-        t = int(rng.integers(1, len(lists) + 1))
-        counts = np.bincount(np.concatenate(lists), minlength=n)
-        found, got = t_occurrences(lists, t, n)
-        assert found.tolist() == np.flatnonzero(counts >= t).tolist()
-        assert got.tolist() == counts[counts >= t].tolist()
+    for merged in (4_000_000, 10):
+        for _ in range(40):
+            n, m = int(rng.integers(2, 40)), int(rng.integers(1, 60))
+            weight = rng.integers(1, 4, m)
+            base = rng.random((int(rng.integers(1, 5)), m)) < rng.random()
+            held = base[rng.integers(0, len(base), n)] ^ (rng.random((n, m)) < 0.1)
+            own = rng.integers(0, 5, n)  # substrings that nothing else has
+            order = np.argsort(held @ weight + own, kind="stable")
+            held, size = held[order], (held @ weight + own)[order]
+            owner, token = np.nonzero(held)
+            got = set(zip(*(x.tolist() for x in near_duplicates.divide_skip(owner, token, weight, size, np.zeros(n, int), merged=merged)), strict=True))
+            x = (held * weight) @ held.T
+            assert got == {(i, j) for i in range(n) for j in range(i + 1, n) if x[i, j] and x[i, j] >= 0.5 * (size[i] + size[j] - x[i, j])}
 
 
 def test_least_overlap_is_a_bound() -> None:
