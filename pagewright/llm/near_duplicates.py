@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm.shingles import WIDTH, letters, mix, text_key, window_hashes
+from pagewright.llm.shingles import WIDTH, distinct as sorted_distinct, letters, mix, text_key, window_hashes
 from pagewright.storage import bounded_broadcast, staged, table
 
 #: Least characters of a text that takes part, similarity.
@@ -72,11 +72,13 @@ def sketches(texts: DataFrame, buckets: int = 1, min_chars: int = MIN_CHARS, wid
                     seen.add(cls)
                 hashes = window_hashes(codes, width)
                 if only is not None:
-                    number = (hashes >> np.uint64(64 - bits)).astype(np.int32) if bits else np.zeros(len(hashes), np.int32)
-                    hashes = hashes[(number >= only.start) & (number < only.stop)]
+                    if only.start:
+                        hashes = hashes[hashes >= np.uint64(only.start << (64 - bits))]
+                    if only.stop < buckets:
+                        hashes = hashes[hashes < np.uint64(only.stop << (64 - bits))]
                     if not len(hashes):
                         continue
-                hashes = np.unique(hashes)
+                hashes = sorted_distinct(hashes)
                 short = hashes >> np.uint64(32 - bits)
                 places = (short >> np.uint64(32)).astype(np.int32)
                 twice = np.concatenate([[False], short[1:] == short[:-1]])
@@ -423,8 +425,8 @@ def exact_similarity(pairs: DataFrame, texts: DataFrame, width: int = WIDTH) ->
             a, b, out = batch.column("a").to_pylist(), batch.column("b").to_pylist(), []
             for i, key in enumerate(a):
                 if key != last:
-                    last, shingles = key, np.unique(window_hashes(letters(batch.column("text_a")[i].as_py()), width))
-                other = np.unique(window_hashes(letters(batch.column("text_b")[i].as_py()), width))
+                    last, shingles = key, sorted_distinct(window_hashes(letters(batch.column("text_a")[i].as_py()), width))
+                other = sorted_distinct(window_hashes(letters(batch.column("text_b")[i].as_py()), width))
                 union = np.concatenate([shingles, other])
                 union.sort()
                 x = int(np.count_nonzero(union[1:] == union[:-1]))

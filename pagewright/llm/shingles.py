@@ -25,7 +25,13 @@ def code_points(text: str) -> np.ndarray:
 def letters(text: str) -> np.ndarray:
     """The code points of the lower-cased text that are letters or digits."""
     codes = code_points(text.lower())
-    return codes[letter_table()[codes]]
+    return codes[letter_table().take(codes)]
+
+
+def distinct(hashes: np.ndarray) -> np.ndarray:
+    """The sorted distinct values; sorting is several times faster here than a hash table."""
+    hashes = np.sort(hashes)
+    return hashes[np.concatenate([[True], hashes[1:] != hashes[:-1]])] if len(hashes) else hashes
 
 
 def mix(h: np.ndarray) -> np.ndarray:
