@@ -60,12 +60,12 @@ _RELATIVE = [
 _EPOCH = datetime(1970, 1, 1)
 
 
-def readings(value: str | None, offsets: dict[str, int]) -> list[tuple[str, str, int, int | None]]:
-    """Every valid reading of `value` as (format, order, milliseconds, offset minutes).
+def readings(value: str | None, offsets: dict[str, int]) -> list[tuple[str, int, int | None]]:
+    """Every valid reading of `value` as (notation, milliseconds, offset minutes).
 
-    order is `DMY`, `MDY` or `YMD` where the notation leaves the order of three numbers open, else empty. milliseconds
-    are local if the offset is None, else UTC. A relative time has the format `relative`, and its milliseconds are the
-    (negative) distance from the time of fetching.
+    The notation is a format's name, followed by `/DMY`, `/MDY` or `/YMD` where the format leaves the order of three numbers open, or by the
+    unit of a bare number. milliseconds are local if the offset is None, else UTC. A relative time has the notation `relative`, and its
+    milliseconds are the (negative) distance from the time of fetching.
     """
     if not value or len(value) > 120:  # no notation is longer; a longer value names no single instant
         return []
@@ -76,7 +76,7 @@ def readings(value: str | None, offsets: dict[str, int]) -> list[tuple[str, str,
         if m := pattern.fullmatch(value):
             unit = m["u"].lower()
             seconds = UNITS.get(unit) or UNITS.get(unit.removesuffix("s"))
-            return [("relative", "", -1000 * seconds * int(m["n"]), 0)] if seconds else []
+            return [("relative", -1000 * seconds * int(m["n"]), 0)] if seconds else []
     found = []
     for name, pattern, order in FORMATS:
         m = pattern.fullmatch(value)
@@ -85,7 +85,8 @@ def readings(value: str | None, offsets: dict[str, int]) -> list[tuple[str, str,
         g = m.groupdict()
         if name == "epoch":
             n = g["n"]
-            found.append((name, "", int(n) * 1000 if len(n) <= 10 else int(n) if len(n) <= 13 else int(n) // 1000, 0))
+            unit, ms = ("s", int(n) * 1000) if len(n) <= 10 else ("ms", int(n)) if len(n) <= 13 else ("us", int(n) // 1000)
+            found.append((f"epoch/{unit}", ms, 0))
             continue
         clock = _clock(g)
         offset = _offset(g.get("z"), offsets)
@@ -93,7 +94,7 @@ def readings(value: str | None, offsets: dict[str, int]) -> list[tuple[str, str,
             continue
         if order:
             a, b, c = int(g["a"]), int(g["b"]), int(g["c"])
-            dates = {"DMY": (c, b, a), "MDY": (c, a, b)} if len(g["c"]) == 4 else {"DMY": (c, b, a), "MDY": (c, a, b), "YMD": (a, b, c)}
+            dates = {"/DMY": (c, b, a), "/MDY": (c, a, b)} if len(g["c"]) == 4 else {"/DMY": (c, b, a), "/MDY": (c, a, b), "/YMD": (a, b, c)}
         else:
             month = MONTH.get((g.get("mon") or "").lower()) if "mon" in g else int(g["m"])
             dates = {"": (int(g["y"]), month, int(g["d"]))} if month else {}
@@ -103,9 +104,7 @@ def readings(value: str | None, offsets: dict[str, int]) -> list[tuple[str, str,
             except ValueError:
                 continue
             ms = (day - _EPOCH).days * 86_400_000 + clock
-            found.append((name, which, ms if offset is None else ms - offset * 60_000, offset))
-        if found:
-            break
+            found.append((name + which, ms if offset is None else ms - offset * 60_000, offset))
     return found
 
 

@@ -1,16 +1,17 @@
 """Problem 6: one unambiguous UTC instant for each written time.
 
-A value contributes likelihood under each of its valid readings. Where a notation leaves the order of day, month and
-year open, a mixture over the orders is fitted per source by expectation-maximisation; a source that declares its order
-gives the mixture its prior. A value is resolved if one reading has nearly all of the posterior and its order has
-support in the source; every other value is marked with the reason why it names no single instant.
+A value contributes likelihood under each of its valid readings: a format, with the order of day, month and year where the
+format leaves it open, or the unit of a bare number. A mixture over these notations is fitted per source by expectation-maximisation; an order
+that a source declares adds a few sightings to its notations. A value is resolved if one reading has nearly all of the posterior and,
+where its order was open, that order has support among the source's values of the format; every other value is marked with the reason why
+it names no single instant.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,76 +20,85 @@ from pagewright.kernel.timeparse import local_to_utc, readings
 from pagewright.storage import bounded_broadcast, staged, table
 
 ORDERS = ("DMY", "MDY", "YMD")
-#: Pseudo-observations that a declared order adds to its source's mixture; so large that data never outvote it.
-DECLARED_WEIGHT = 1e12
-#: Posterior that a reading needs, and share that its order needs in the source.
+#: Sightings that a declared order adds to each notation of its order in its source's mixture, and that every notation has to begin with.
+DECLARED, LEAST = 5.0, 1e-3
+#: Posterior that a reading needs, and share that its order needs among the source's values of its format.
 SURE, SUPPORT = 0.99, 0.01
 ROUNDS = 20
 
-_READ = "order_mask int, f_dmy long, f_mdy long, f_ymd long, f_offset int, f_format string"
-_NAMES = [x.split()[0] for x in _READ.split(", ")]
+_READ = "f_readings array<struct<notation:string,ms:long,off:int>>"
+_OWN = ["f_readings", "f_source", "f_shares", "utc_ms", "status"]
 
 
 def read_times(values: DataFrame, offsets: dict[str, int]) -> DataFrame:
-    """Adds every valid reading of the column `value`.
+    """Adds f_readings, every valid reading of the column `value`; it is empty where there is none."""
+    kind = pa.list_(pa.struct([("notation", pa.string()), ("ms", pa.int64()), ("off", pa.int32())]))
 
-    order_mask has bit 0 for a reading without open order (its time is in f_dmy), else bits 1, 2, 3 for valid readings as
-    DMY, MDY, YMD. 0 means no valid reading.
-    """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for v in b["value"]:
-                found = readings(v, offsets)
-                if not found:
-                    rows.append((0, None, None, None, None, None))
-                    continue
-                by = {order: ms for _, order, ms, _ in found}
-                mask = 1 if "" in by else sum(2 << i for i, o in enumerate(ORDERS) if o in by)
-                first = by.get("") if mask == 1 else by.get("DMY")
-                rows.append((mask, first, by.get("MDY"), by.get("YMD"), found[0][3], found[0][0]))
-            read = pd.DataFrame(rows, columns=_NAMES).astype({"order_mask": "int32"})
-            for c in ("f_dmy", "f_mdy", "f_ymd"):
-                read[c] = read[c].astype("Int64")
-            read["f_offset"] = read["f_offset"].astype("Int32")
-            yield pd.concat([b.reset_index(drop=True), read], axis=1)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [[{"notation": n, "ms": ms, "off": off} for n, ms, off in readings(v, offsets)] for v in batch.column("value").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, kind)], [*batch.schema.names, "f_readings"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in values.schema.fields)
-    return values.mapInPandas(run, f"{fields}, {_READ}")
+    return values.mapInArrow(run, f"{fields}, {_READ}")
 
 
-def fit_orders(masks: dict[int, int], declared: str | None, rounds: int = ROUNDS) -> dict[str, float]:
-    """Shares of the orders in one source, by expectation-maximisation over (mask of valid orders, count)."""
-    prior = {o: (DECLARED_WEIGHT if o == declared else 0.0) + 1e-3 for o in ORDERS}
-    share = {o: 1 / len(ORDERS) for o in ORDERS}
+def fit_notations(seen: dict[tuple[str, ...], int], declared: str | None, rounds: int = ROUNDS) -> dict[str, float]:
+    """Shares of the notations in one source, by expectation-maximisation over (valid notations of a value, number of such values)."""
+    prior = {n: LEAST + (DECLARED if declared and n.endswith(f"/{declared}") else 0.0) for valid in seen for n in valid}
+    share = {n: 1 / len(prior) for n in prior}
     for _ in range(rounds):
-        seen = dict(prior)
-        for mask, count in masks.items():
-            valid = [o for i, o in enumerate(ORDERS) if mask & (2 << i)]
-            total = sum(share[o] for o in valid)
-            for o in valid:
-                seen[o] += count * share[o] / total
-        whole = sum(seen.values())
-        share = {o: max(n / whole, 1e-15) for o, n in seen.items()}
+        sightings = dict(prior)
+        for valid, count in seen.items():
+            total = sum(share[n] for n in valid)
+            for n in valid:
+                sightings[n] += count * share[n] / total
+        whole = sum(sightings.values())
+        share = {n: max(x / whole, 1e-15) for n, x in sightings.items()}
     return share
 
 
-def order_shares(read: DataFrame) -> DataFrame:
-    """(source, p_dmy, p_mdy, p_ymd) for every source that has values of open order.
+def notation_shares(read: DataFrame) -> DataFrame:
+    """(source, shares map<notation, share>) of every source.
 
-    The values are first counted by source and mask, at most seven rows a source, so that a group stays small whatever
-    the source's size.
+    The values are first counted by source and valid notations, a few sets for each source, so that a group stays small whatever the
+    source's size.
     """
-    counts = read.filter("order_mask > 1").groupBy("source", "declared_order", "order_mask").agg(F.count(F.lit(1)).alias("n"))
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        declared = next((x for x in g["declared_order"] if isinstance(x, str)), None)
-        share = fit_orders(dict(g.groupby("order_mask")["n"].sum()), declared)
-        source = g["source"].iloc[0]
-        return pd.DataFrame({"source": [source], **{f"p_{o.lower()}": [share[o]] for o in ORDERS}})
-
-    return counts.groupBy("source").applyInPandas(run, "source string, p_dmy double, p_mdy double, p_ymd double")
+    valid = F.array_join(F.array_sort(F.transform("f_readings", lambda r: r["notation"])), "|")
+    counts = read.filter(F.size("f_readings") > 0).groupBy("source", "declared_order", valid.alias("valid")).agg(F.count(F.lit(1)).alias("n"))
+
+    def run(g: pa.Table) -> pa.Table:
+        declared = next((x for x in g.column("declared_order").to_pylist() if x is not None), None)
+        seen: dict[tuple[str, ...], int] = {}
+        for valid, n in zip(g.column("valid").to_pylist(), g.column("n").to_pylist(), strict=True):
+            seen[key] = seen.get(key := tuple(valid.split("|")), 0) + n
+        return pa.table({"source": g.column("source")[:1], "shares": pa.array([list(fit_notations(seen, declared).items())], pa.map_(pa.string(), pa.float64()))})
+
+    return counts.groupBy("source").applyInArrow(run, "source string, shares map<string,double>")
+
+
+def chosen(found: list[dict], shares: dict[str, float]) -> dict | None:
+    """The reading that has nearly all of the posterior, None if none has, or if its order has no support in its format."""
+    total = sum(shares.get(r["notation"], 0.0) for r in found)
+    for r in found:
+        share, (family, _, order) = shares.get(r["notation"], 0.0), r["notation"].partition("/")
+        if share >= SURE * total and (order not in ORDERS or share >= SUPPORT * sum(x for n, x in shares.items() if n.partition("/")[0] == family)):
+            return r
+    return None
+
+
+def instant(found: list[dict], shares: dict[str, float], zone: str | None, fetched: int | None) -> tuple[int | None, str]:
+    """(utc_ms, status) of a value with the given readings."""
+    if not found:
+        return None, "none"
+    if (best := chosen(found, shares)) is None:
+        return None, "ambiguous order"
+    if best["notation"] == "relative":
+        return (None, "no fetch time") if fetched is None else (fetched + best["ms"], "resolved")
+    if best["off"] is not None:
+        return best["ms"], "resolved"
+    utc = local_to_utc(best["ms"], zone)
+    return utc, "ambiguous local time" if utc is None else "resolved"
 
 
 def normalise_times(values: DataFrame, zone_offsets: dict[str, int]) -> DataFrame:
@@ -99,32 +109,25 @@ def normalise_times(values: DataFrame, zone_offsets: dict[str, int]) -> DataFram
     `none` (null, empty, no time, an impossible date or clock), `ambiguous order`, `ambiguous local time` (it occurs
     never or twice in the zone, or the zone isn't known) or `no fetch time`.
     """
-    clash = {*_NAMES, "p_dmy", "p_mdy", "p_ymd", "utc_ms", "status"} & set(values.columns)
-    if clash:
-        values = values.drop(*clash)
+    values = values.drop(*({*_OWN} & set(values.columns)))
     read = staged(read_times(values, zone_offsets), "times")  # parsed once, used for the fit and for the choice
-    shares = bounded_broadcast(staged(order_shares(read).withColumnRenamed("source", "s_source"), "orders"))
-    # An order needs support in its source and nearly all of the posterior among the valid orders.
-    valid = [(o, F.when(F.col("order_mask").bitwiseAND(2 << i) != 0, F.coalesce(F.col(f"p_{o.lower()}"), F.lit(0.0))).otherwise(0.0)) for i, o in enumerate(ORDERS)]
-    total = valid[0][1] + valid[1][1] + valid[2][1]
-    chosen = F.when(F.col("order_mask") == 1, F.col("f_dmy"))
-    for o, p in valid:
-        chosen = chosen.when((p >= SUPPORT) & (p / total >= SURE), F.col(f"f_{o.lower()}"))
-
-    @F.pandas_udf("long")
-    def to_utc(ms: pd.Series, zone: pd.Series) -> pd.Series:
-        return pd.Series([None if pd.isna(m) else local_to_utc(int(m), z) for m, z in zip(ms, zone, strict=True)], dtype="Int64")
-
-    joined = read.join(shares, F.col("source").eqNullSafe(F.col("s_source")), "left").drop("s_source")
-    joined = joined.withColumn("f_ms", chosen)
-    is_local = F.col("f_ms").isNotNull() & F.col("f_offset").isNull()
-    joined = joined.withColumn("f_utc", to_utc(F.when(is_local, F.col("f_ms")), F.col("zone")))
-    utc = F.when(F.col("f_format") == "relative", F.col("fetched_ms") + F.col("f_ms")).when(is_local, F.col("f_utc")).otherwise(F.col("f_ms"))
-    status = (
-        F.when(F.col("order_mask") == 0, "none").when(F.col("f_ms").isNull(), "ambiguous order").when(F.col("utc_ms").isNotNull(), "resolved")
-        .when(F.col("f_format") == "relative", "no fetch time").otherwise("ambiguous local time")
-    )
-    return joined.withColumn("utc_ms", utc).withColumn("status", status).drop(*_NAMES, "p_dmy", "p_mdy", "p_ymd", "f_ms", "f_utc")
+    shares = bounded_broadcast(staged(notation_shares(read).select(F.col("source").alias("f_source"), F.col("shares").alias("f_shares")), "notations"))
+    joined = read.join(shares, F.col("source").eqNullSafe(F.col("f_source")), "left").drop("f_source")
+    kept = [c for c in read.columns if c != "f_readings"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            by_source: dict[str | None, dict[str, float]] = {}
+            out = []
+            for i, (found, source, zone, fetched) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("f_readings", "source", "zone", "fetched_ms")), strict=True)):
+                if source not in by_source:
+                    by_source[source] = dict(batch.column("f_shares")[i].as_py() or ())
+                out.append(instant(found, by_source[source], zone, fetched))
+            columns = [pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.string())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *columns], [*kept, "utc_ms", "status"])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in values.schema.fields)
+    return joined.mapInArrow(run, f"{fields}, utc_ms long, status string")
 
 
 def corpus_times(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -147,7 +150,7 @@ def corpus_times(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def zone_offsets(spark: SparkSession, sf_dir: str) -> dict[str, int]:
     """The fixed table of zone abbreviations (16 rows)."""
-    return {r["abbr"]: r["offset_minutes"] for r in table(spark, sf_dir, "zone_abbrevs").limit(1000).collect()}
+    return {r["abbr"]: r["offset_minutes"] for r in table(spark, sf_dir, "zone_abbrevs").collect()}
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:

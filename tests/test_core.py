@@ -28,13 +28,13 @@ ZONES = {"CET": 60, "EST": -300}
 ])
 def test_readings(value: str, order: str | None, ms: int | None) -> None:
     found = readings(value, ZONES)
-    assert (not found) if ms is None else [(o, m) for _, o, m, _ in found] == [(order, ms)]
+    assert (not found) if ms is None else [m for _, m, _ in found] == [ms] and found[0][0].partition("/")[2] not in timestamps.ORDERS
 
 
 def test_readings_open_order_and_none() -> None:
-    assert {o for _, o, _, _ in readings("03/04/2021 10:00", ZONES)} == {"DMY", "MDY"}
-    assert {o for _, o, _, _ in readings("30/04/2021 10:00", ZONES)} == {"DMY"}
-    assert readings("vor 2 Wochen", ZONES)[0][2] == -1209600000
+    assert {n for n, _, _ in readings("03/04/2021 10:00", ZONES)} == {"numbers/DMY", "numbers/MDY"}
+    assert {n for n, _, _ in readings("30/04/2021 10:00", ZONES)} == {"numbers/DMY"}
+    assert readings("vor 2 Wochen", ZONES)[0][1] == -1209600000
     for value in (None, "", "soon", "2023-02-30", "2024-13-05T10:00:00Z", "0000-00-00", "x" * 5000, "2021-01-01 25:00"):
         assert readings(value, ZONES) == []
 
@@ -46,11 +46,21 @@ def test_local_times() -> None:
     assert local_to_utc(0, "No/Where") is None
 
 
-def test_fit_orders_without_declaration() -> None:
-    share = timestamps.fit_orders({2: 50, 6: 100}, None)
-    assert share["DMY"] > 0.9
-    assert timestamps.fit_orders({6: 100}, None)["DMY"] == pytest.approx(0.5, abs=0.01)
-    assert timestamps.fit_orders({2: 50, 6: 100}, "MDY")["MDY"] > 0.99
+def test_mixture_decides() -> None:
+    """The order comes from values that only one order can read; a declared one only tips what they leave open."""
+    open_, day, month = ("n/DMY", "n/MDY"), ("n/DMY",), ("n/MDY",)
+    share = timestamps.fit_notations({day: 50, open_: 100, ("iso",): 30}, None)
+    assert share["n/DMY"] > 100 * share["n/MDY"] and share["iso"] == pytest.approx(30 / 180, abs=0.01)
+    both = timestamps.fit_notations({open_: 100}, None)
+    assert both["n/DMY"] == pytest.approx(both["n/MDY"], rel=0.01)
+    declared = timestamps.fit_notations({open_: 100}, "MDY")
+    assert declared["n/MDY"] > 100 * declared["n/DMY"]
+    against = timestamps.fit_notations({day: 500, open_: 500}, "MDY")
+    assert against["n/DMY"] > 50 * against["n/MDY"]  # the data outvote the declaration
+    mixed = timestamps.fit_notations({day: 50, month: 50, open_: 100}, None)
+    found = [{"notation": "n/DMY", "ms": 1, "off": None}, {"notation": "n/MDY", "ms": 2, "off": None}]
+    assert timestamps.chosen(found, mixed) is None and timestamps.chosen(found, share)["ms"] == 1
+    assert timestamps.chosen(found[1:], share) is None and timestamps.chosen(found[1:], mixed)["ms"] == 2
 
 
 def test_normalise_times(spark) -> None:  # noqa: ANN001
