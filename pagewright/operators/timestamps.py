@@ -2,7 +2,7 @@
 
 A value contributes likelihood under each of its valid readings: a format, with the order of day, month and year where the
 format leaves it open, or the unit of a bare number. A mixture over these notations is fitted per source by expectation-maximisation; an order
-that a source declares adds a few sightings to its notations. A value is resolved if one reading has nearly all of the posterior and,
+that a source declares weighs as much as all of its values, so that data against it leave the values open. A value is resolved if one reading has nearly all of the posterior and,
 where its order was open, that order has support among the source's values of the format; every other value is marked with the reason why
 it names no single instant.
 """
@@ -20,11 +20,12 @@ from pagewright.kernel.timeparse import local_to_utc, readings
 from pagewright.storage import bounded_broadcast, staged, table
 
 ORDERS = ("DMY", "MDY", "YMD")
-#: Sightings that a declared order adds to each notation of its order in its source's mixture, and that every notation has to begin with.
-DECLARED, LEAST = 5.0, 1e-3
+#: Sightings that a declared order adds to each notation of its order, for each of the source's values; those every notation begins with.
+DECLARED, LEAST = 1.0, 1e-3
 #: Posterior that a reading needs, and share that its order needs among the source's values of its format.
 SURE, SUPPORT = 0.99, 0.01
-ROUNDS = 20
+#: Rounds of the mixture at most, and change of the shares at which it ends.
+ROUNDS, SETTLED = 1000, 1e-12
 
 _READ = "f_readings array<struct<notation:string,ms:long,off:int>>"
 _OWN = ["f_readings", "f_source", "f_shares", "utc_ms", "status"]
@@ -45,7 +46,8 @@ def read_times(values: DataFrame, offsets: dict[str, int]) -> DataFrame:
 
 def fit_notations(seen: dict[tuple[str, ...], int], declared: str | None, rounds: int = ROUNDS) -> dict[str, float]:
     """Shares of the notations in one source, by expectation-maximisation over (valid notations of a value, number of such values)."""
-    prior = {n: LEAST + (DECLARED if declared and n.endswith(f"/{declared}") else 0.0) for valid in seen for n in valid}
+    weight = DECLARED * sum(seen.values())
+    prior = {n: LEAST + (weight if declared and n.endswith(f"/{declared}") else 0.0) for valid in seen for n in valid}
     share = {n: 1 / len(prior) for n in prior}
     for _ in range(rounds):
         sightings = dict(prior)
@@ -53,8 +55,10 @@ def fit_notations(seen: dict[tuple[str, ...], int], declared: str | None, rounds
             total = sum(share[n] for n in valid)
             for n in valid:
                 sightings[n] += count * share[n] / total
-        whole = sum(sightings.values())
+        whole, before = sum(sightings.values()), share
         share = {n: max(x / whole, 1e-15) for n, x in sightings.items()}
+        if max((abs(share[n] - before[n]) for n in share), default=0.0) < SETTLED:
+            break
     return share
 
 

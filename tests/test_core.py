@@ -47,7 +47,7 @@ def test_local_times() -> None:
 
 
 def test_mixture_decides() -> None:
-    """The order comes from values that only one order can read; a declared one only tips what they leave open."""
+    """The order comes from values that only one order can read; a declared one tips what they leave open."""
     open_, day, month = ("n/DMY", "n/MDY"), ("n/DMY",), ("n/MDY",)
     share = timestamps.fit_notations({day: 50, open_: 100, ("iso",): 30}, None)
     assert share["n/DMY"] > 100 * share["n/MDY"] and share["iso"] == pytest.approx(30 / 180, abs=0.01)
@@ -56,7 +56,8 @@ def test_mixture_decides() -> None:
     declared = timestamps.fit_notations({open_: 100}, "MDY")
     assert declared["n/MDY"] > 100 * declared["n/DMY"]
     against = timestamps.fit_notations({day: 500, open_: 500}, "MDY")
-    assert against["n/DMY"] > 50 * against["n/MDY"]  # the data outvote the declaration
+    found = [{"notation": "n/DMY", "ms": 1, "off": None}, {"notation": "n/MDY", "ms": 2, "off": None}]
+    assert timestamps.chosen(found, against) is None  # the data contradict the declaration
     mixed = timestamps.fit_notations({day: 50, month: 50, open_: 100}, None)
     found = [{"notation": "n/DMY", "ms": 1, "off": None}, {"notation": "n/MDY", "ms": 2, "off": None}]
     assert timestamps.chosen(found, mixed) is None and timestamps.chosen(found, share)["ms"] == 1
