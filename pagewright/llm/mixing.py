@@ -11,11 +11,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagewright.llm.packing import sized_documents
-from pagewright.storage import staged, table
+from pagewright.storage import bounded_broadcast, staged, table
 
 #: Share that the scarcest source's room (size times repeats) is used to; a total is derived from it if none is given.
 USE_OF_SCARCEST = 0.95
@@ -65,8 +65,8 @@ def mixing_plan(sizes: DataFrame, targets: DataFrame, total: float | None = None
     spark = sizes.sparkSession
     rows = targets.filter("target_share > 0 and max_repeats > 0").collect()  # the request itself: a row for each source named in it
     wanted = {r["source"]: (float(r["target_share"]), int(r["max_repeats"])) for r in rows}
-    named = spark.createDataFrame([(s,) for s in wanted], "source string")
-    have = {r["source"]: float(r["n"]) for r in sizes.join(F.broadcast(named), "source").groupBy("source").agg(F.sum("n_tokens").alias("n")).collect() if r["n"]}
+    named = bounded_broadcast(spark.createDataFrame([(s,) for s in wanted], "source string"))
+    have = {r["source"]: float(r["n"]) for r in sizes.join(named, "source").groupBy("source").agg(F.sum("n_tokens").alias("n")).collect() if r["n"]}
     wanted = {s: x for s, x in wanted.items() if s in have}
     if not wanted:
         return []
@@ -79,7 +79,7 @@ def mixing_plan(sizes: DataFrame, targets: DataFrame, total: float | None = None
     for _ in range(PASSES):
         tried = [(s, k, low + (high - low) * k / (GRID - 1)) for s, (low, high) in bounds.items() for k in range(GRID)]
         grid = spark.createDataFrame([(s, [(k, poisson_cdf(m, wanted[s][1])) for t, k, m in tried if t == s]) for s in wanted], "source string, grid array<struct<k:int,cdf:array<double>>>")
-        each = sizes.join(F.broadcast(grid), "source")
+        each = sizes.join(bounded_broadcast(grid, 5_000), "source")  # GRID lists of `max_repeats` numbers a row
         # one row for each source and partition leaves the scan: sums over the grid are kept as columns
         sums = [F.sum(F.col("n_tokens") * _uses(F.col("u"), F.col("grid")[k]["cdf"])).alias(f"n{k}") for k in range(GRID)]
         got = {r["source"]: [float(r[f"n{k}"]) for k in range(GRID)] for r in each.groupBy("source").agg(*sums).collect()}
@@ -97,10 +97,10 @@ def mix(docs: DataFrame, targets: DataFrame, id_column: str = "doc_id", total: f
     docs: (id, source, n_tokens). Sources without a target take no part, nor do documents of null or no size. Targets of sources
     without documents are left out and the others scaled up. Repeated ids are drawn alike. The order is that of a hash.
     """
-    sizes = staged(docs.select(F.col(id_column).alias("id"), "source", F.col("n_tokens").cast("long").alias("n_tokens"), uniform(F.col(id_column)).alias("u")).filter("n_tokens > 0"), "mix")
+    sizes = staged(docs.select(F.col(id_column).alias("id"), "source", F.col("n_tokens").cast("long").alias("n_tokens"), uniform(F.col(id_column)).alias("u")), "mix").filter("n_tokens > 0")  # filtered once it is written: a filter below would count the tokens twice
     plan = mixing_plan(sizes, targets, total)
     table_ = sizes.sparkSession.createDataFrame([(p["source"], p["cdf"]) for p in plan], "source string, cdf array<double>")
-    used = sizes.join(F.broadcast(table_), "source").withColumn("n_uses", _uses(F.col("u"), F.col("cdf"))).filter("n_uses > 0")
+    used = sizes.join(bounded_broadcast(table_), "source").withColumn("n_uses", _uses(F.col("u"), F.col("cdf"))).filter("n_uses > 0")
     copies = used.select("id", F.explode(F.sequence(F.lit(1), F.col("n_uses"))).alias("copy"), "source", "n_tokens")
     placed = copies.withColumn("place", F.xxhash64("id", "copy", F.lit(SEED + 1)))
     return placed.repartitionByRange("place").sortWithinPartitions("place").withColumnRenamed("id", id_column)
@@ -109,10 +109,10 @@ def mix(docs: DataFrame, targets: DataFrame, id_column: str = "doc_id", total: f
 def shares(mixture: DataFrame, targets: DataFrame, id_column: str = "doc_id") -> DataFrame:
     """Target and actual share, tokens, documents and repeats of each source of the mixture."""
     by = mixture.groupBy("source").agg(F.sum("n_tokens").alias("n_tokens"), F.count(F.lit(1)).alias("n_uses"), F.count_distinct(id_column).alias("n_docs"), F.max("copy").alias("most_repeats"))
-    all_ = by.agg(F.sum("n_tokens").alias("all_tokens"))
-    wanted = targets.select("source", "target_share", "max_repeats")
-    return F.broadcast(wanted).join(by, "source", "left").join(F.broadcast(all_)).select(
-        "source", "target_share", (F.coalesce("n_tokens", F.lit(0)) / F.col("all_tokens")).alias("actual_share"), F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"),
+    joined = targets.select("source", "target_share", "max_repeats").join(by, "source", "left")  # a row for each source on both sides
+    whole = F.sum("n_tokens").over(Window.partitionBy())
+    return joined.select(
+        "source", "target_share", (F.coalesce("n_tokens", F.lit(0)) / whole).alias("actual_share"), F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"),
         F.coalesce("n_uses", F.lit(0)).alias("n_uses"), F.coalesce("n_docs", F.lit(0)).alias("n_docs"), F.coalesce("most_repeats", F.lit(0)).alias("most_repeats"), "max_repeats",
     )
 

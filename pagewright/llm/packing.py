@@ -96,7 +96,10 @@ def pack(docs: DataFrame, capacities: DataFrame, id_column: str = "doc_id", size
     base = docs.select(F.col(id_column).alias("id"), F.col(size_column).cast("long").alias("size")).filter("size > 0")
     n_shards = max(1, -(-base.count() // shard))
     base = base.withColumn("shard", F.pmod(F.xxhash64("id", F.lit(11)), F.lit(n_shards)).cast("int"))
-    wide = base.crossJoin(F.broadcast(capacities.select("pack_id", F.col("capacity_tokens").cast("long").alias("capacity"))))  # a few fixed capacities
+    asked = capacities.select("pack_id", F.col("capacity_tokens").cast("long").alias("capacity")).distinct().collect()  # the request itself, a row for each capacity
+    kind = f"array<struct<pack_id:{dict(capacities.dtypes)['pack_id']},capacity:bigint>>"
+    each = F.array(*[F.struct(F.lit(r["pack_id"]).alias("pack_id"), F.lit(r["capacity"]).alias("capacity")) for r in asked if r["capacity"]]).cast(kind)
+    wide = base.select("*", F.inline(each))
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         capacity, pack_id, number = int(g["capacity"].iloc[0]), g["pack_id"].iloc[0], int(g["shard"].iloc[0])
@@ -138,7 +141,7 @@ def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Containers, tokens and share of the room used, by capacity."""
     sizes = table(spark, sf_dir, "pack_sizes")
     by = p8_packed(spark, sf_dir).groupBy("pack_id").agg(F.count_distinct("container").alias("n_containers"), F.sum("n_tokens").alias("n_tokens"))
-    return by.join(F.broadcast(sizes), "pack_id").withColumn("used_share", F.col("n_tokens") / (F.col("n_containers") * F.col("capacity_tokens")))
+    return by.join(sizes, "pack_id").withColumn("used_share", F.col("n_tokens") / (F.col("n_containers") * F.col("capacity_tokens")))
 
 
 QUERIES = {"p8_packed": p8_packed, "p8_fill": p8_fill}
