@@ -52,25 +52,54 @@ def front_matter(title: Column, description: Column, url: Column, published: Col
     """Quoted fields between rules, the content, and lists of images and links if asked; empty fields are left out."""
     fields = [("title", title), ("description", description), ("url", url), ("publishedTime", published), ("warning", warning)]
     head = F.concat_ws("\n", F.lit("---"), *(F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(f"{name}: "), json_quoted(c))) for name, c in fields), F.lit("---"))
-    return F.concat_ws("\n\n", head, F.coalesce(content, F.lit("")), *_inventories("## ", images, links))
-
-
-def plain_representation(title: Column, url: Column, published: Column, warning: Column, pages: Column, content: Column, images: Column | None = None, links: Column | None = None) -> Column:
-    """Labelled fields, then the content, and lists of images and links if asked."""
-    line = lambda label, c: F.when(F.coalesce(c.cast("string"), F.lit("")) != "", F.concat(F.lit(f"{label}: "), c.cast("string")))
-    warn = F.when(F.coalesce(warning, F.lit("")) != "", F.concat(F.lit("Warning: "), F.replace(warning, F.lit("\n"), F.lit("\nWarning: "))))
-    return F.concat_ws("\n\n", line("Title", title), line("URL Source", url), line("Published Time", published), warn, line("Number of Pages", pages), F.concat(F.lit("Markdown Content:\n"), F.coalesce(content, F.lit(""))), *_inventories("", images, links))
-
-
-def _inventories(mark: str, images: Column | None, links: Column | None) -> list[Column]:
+    lists = _inventories("## Images", "## Links/Buttons", images, links)
+    return F.concat(head, F.lit("\n\n"), F.coalesce(content, F.lit("")), F.when(lists != "", F.concat(F.lit("\n\n"), lists, F.lit("\n"))).otherwise(""))
+
+
+def plain_representation(
+    title: Column, url: Column, published: Column, warning: Column, pages: Column, content: Column, images: Column | None = None, links: Column | None = None, instead: list[Column] | None = None, chunks: Column | None = None
+) -> Column:
+    """Labelled fields, then the content, and lists of images and links if asked.
+
+    instead: what stands for a page without content, in turn (addresses of shots with a line break, its html, its text). chunks: if
+    there are any, they are the representation.
+    """
+    some = lambda c: F.coalesce(c.cast("string"), F.lit("")) != ""
+    line = lambda label, c: F.when(some(c), F.concat(F.lit(f"{label}: "), c.cast("string")))
+    warn = F.when(some(warning), F.concat(F.lit("Warning: "), F.replace(warning, F.lit("\n"), F.lit("\nWarning: "))))
+    mixed = F.concat_ws("\n\n", line("Published Time", published), warn, F.when(pages.cast("int") != 0, line("Number of Pages", pages)))
+    lists = _inventories("Images:", "Links/Buttons:", images, links)
+    whole = F.concat(
+        F.lit("Title: "), F.coalesce(title, F.lit("")), F.lit("\n\nURL Source: "), F.coalesce(url, F.lit("")), F.lit("\n"), F.when(mixed != "", F.concat(F.lit("\n"), mixed, F.lit("\n"))).otherwise(""),
+        F.lit("\nMarkdown Content:\n"), F.coalesce(content, F.lit("")), F.lit("\n"), F.when(lists != "", F.concat(F.lit("\n"), lists, F.lit("\n"))).otherwise(""),
+    )
+    if chunks is not None:
+        whole = F.when(F.coalesce(F.size(chunks), F.lit(0)) > 0, F.array_join(chunks, "\n\n\u001d")).otherwise(whole)
+    stand_in = F.coalesce(*(F.when(some(c), c) for c in instead), whole) if instead else whole
+    return F.when(some(content), whole).otherwise(stand_in)
+
+
+# What the lists of a page without images or links say.
+NO_IMAGES, NO_LINKS = "This page does not seem to contain any images.", "This page does not seem to contain any buttons/links."
+
+
+def _inventories(image_head: str, link_head: str, images: Column | None, links: Column | None) -> Column:
     out = []
     if images is not None:
-        rows = F.array_join(F.transform(F.map_entries(images), lambda e: F.concat(F.lit("- !["), e["key"], F.lit("]("), e["value"], F.lit(")"))), "\n")
-        out.append(F.when(images.isNotNull(), F.concat(F.lit(f"{mark}Images:\n" if not mark else f"{mark}Images\n\n"), F.when(F.size(images) > 0, rows).otherwise("This page does not seem to contain any images."))))
+        rows = F.transform(F.map_entries(images), lambda e: F.concat(F.lit("- !["), e["key"], F.lit("]("), F.coalesce(e["value"], F.lit("")), F.lit(")")))
+        out.append(F.when(images.isNotNull(), F.array_join(F.concat(F.array(F.lit(image_head)), F.when(F.size(images) > 0, rows).otherwise(F.array(F.lit(NO_IMAGES)))), "\n")))
     if links is not None:
-        rows = F.array_join(F.transform(links, lambda x: F.concat(F.lit("- ["), x["text"], F.lit("]("), x["href"], F.lit(")"))), "\n")
-        out.append(F.when(links.isNotNull(), F.concat(F.lit(f"{mark}Links/Buttons:\n" if not mark else f"{mark}Links/Buttons\n\n"), F.when(F.size(links) > 0, rows).otherwise("This page does not seem to contain any buttons/links."))))
-    return out
+        rows = F.transform(links, lambda x: F.concat(F.lit("- ["), F.coalesce(x["text"], F.lit("")), F.lit("]("), F.coalesce(x["href"], F.lit("")), F.lit(")")))
+        out.append(F.when(links.isNotNull(), F.array_join(F.concat(F.array(F.lit(link_head)), F.when(F.size(links) > 0, rows).otherwise(F.array(F.lit(NO_LINKS)))), "\n")))
+    return F.concat_ws("\n\n", *out)
+
+
+def images_summary(images: Column) -> Column:
+    """Images of a page for its summary: the address of each by its number and alternative text, the first of each address."""
+    sources = F.transform(images, lambda x: x["src"])
+    first = F.filter(images, lambda x, i: F.array_position(sources, x["src"]) == i + 1)
+    tag = lambda x, i: F.concat(F.lit("Image "), (i + 1).cast("string"), F.when(F.coalesce(x["alt"], F.lit("")) != "", F.concat(F.lit(": "), x["alt"])).otherwise(""))
+    return F.map_from_arrays(F.transform(first, tag), F.transform(first, lambda x: x["src"]))
 
 
 def status_warning(status: Column, text: Column) -> Column:
@@ -78,10 +107,19 @@ def status_warning(status: Column, text: Column) -> Column:
     return F.when((status < 200) | (status >= 400), F.concat(F.lit("Target URL returned error "), status.cast("string"), F.lit(": "), F.coalesce(text, F.lit(""))))
 
 
-def thin_warnings(tokens: Column, intermediate: Column, iframe: Column, cached: Column) -> Column:
-    """Warnings on pages with fewer than 200 tokens, and on cached ones."""
-    thin = tokens < 200
-    return F.concat_ws("\n", F.when(thin & intermediate, "This page maybe not yet fully loaded, consider explicitly specify a timeout."), F.when(thin & iframe, "This page contains iframe that are currently hidden, consider enabling iframe processing."), F.when(cached, "This is a cached snapshot of the original page, consider retry with caching opt-out."))
+# Warnings on thin pages.
+THIN = {
+    "intermediate": "This page maybe not yet fully loaded, consider explicitly specify a timeout.",
+    "iframe": "This page contains iframe that are currently hidden, consider enabling iframe processing.",
+    "captcha": "This page maybe requiring CAPTCHA, please make sure you are authorized to access this page.",
+    "cached": "This is a cached snapshot of the original page, consider retry with caching opt-out.",
+}
+
+
+def thin_warnings(tokens: Column, intermediate: Column, iframe: Column, cached: Column, html: Column | None = None) -> Column:
+    """Warnings on pages with fewer than 200 tokens."""
+    challenge = F.lit(False) if html is None else html.contains("captcha") | html.contains("cf-turnstile-response")
+    return F.concat_ws("\n", *(F.when((tokens < 200) & held, THIN[name]) for name, held in (("intermediate", intermediate), ("iframe", iframe), ("captcha", challenge), ("cached", cached))))
 
 
 def token_charge(content: Column, description: Column, text: Column, html: Column, shots: Column, cap: int = 2_000_000) -> Column:

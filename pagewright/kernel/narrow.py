@@ -14,7 +14,7 @@ _UTILITY = re.compile(
     r"^!?-?(?:(?:sm|md|lg|xl|2xl|hover|focus|active|dark|group-hover|first|last|odd|even|disabled|print)[:-])*!?-?"
     r"(?:[mp][trblxyse]?|w|h|min-[wh]|max-[wh]|size|gap|space-[xy]|inset(?:-[xy])?|top|right|bottom|left|z|order|col|row|grid|flex|basis|grow|shrink|items|justify|content|self|place|float|clear|object|overflow|overscroll"
     r"|text|font|leading|tracking|list|decoration|underline|align|whitespace|break|bg|from|via|to|border|rounded|divide|outline|ring|shadow|opacity|mix|blur|filter|backdrop|transition|duration|ease|delay|animate|scale|rotate"
-    r"|translate|skew|origin|cursor|select|resize|scroll|snap|touch|will|fill|stroke|sr|aspect|columns|box|table|caption)(?:-[\w./%\[\]#]+)*$|^(?:block|inline|hidden|visible|static|fixed|absolute|relative|sticky|flex|grid|italic|uppercase|lowercase|capitalize|truncate|container|antialiased)$"
+    r"|translate|skew|origin|cursor|select|resize|scroll|snap|touch|will|fill|stroke|sr|aspect|columns|table|caption)(?:-[\w./%\[\]#]+)+$|^(?:border|rounded|shadow|outline|ring|underline|transition|resize|blur|filter|grow|shrink|block|inline|hidden|visible|static|fixed|absolute|relative|sticky|flex|grid|italic|uppercase|lowercase|capitalize|truncate|container|antialiased)$"
 )
 
 
@@ -38,7 +38,13 @@ def narrow(root: Node, target: list[str] | None = None, remove: list[str] | None
         if i:
             body.append(Node(None, text="\n\n"))
         body.append(node)
+    old = root.find("html")
     page = Node("html")
+    if old is not None:
+        page.attrs = dict(old.attrs)
+    if (head := root.find("head")) is not None:
+        head.remove()
+        page.append(head)
     page.append(body)
     out = Node("#root")
     out.append(page)

@@ -40,19 +40,21 @@ class RenderOptions:
     rules: tuple[tuple[tuple[str, ...], Rule], ...] = ()
 
 
-# Hosts of embedded players and the pages they show.
+# Addresses of embedded players and the pages they show; those without one are their own.
 VIDEO_HOSTS = [
-    (re.compile(r"^https?://(?:www\.|m\.)?(?:youtube\.com|youtube-nocookie\.com)/(?:embed|v)/([\w-]+)"), "https://www.youtube.com/watch?v={}"),
-    (re.compile(r"^https?://youtu\.be/([\w-]+)"), "https://www.youtube.com/watch?v={}"),
-    (re.compile(r"^https?://player\.bilibili\.com/.*?[?&]bvid=(\w+)"), "https://www.bilibili.com/video/{}"),
-    (re.compile(r"^https?://player\.bilibili\.com/.*?[?&]aid=(\d+)"), "https://www.bilibili.com/video/av{}"),
-    (re.compile(r"^https?://player\.vimeo\.com/video/(\d+)"), "https://vimeo.com/{}"),
-    (re.compile(r"^https?://(?:www\.)?dailymotion\.com/embed/video/(\w+)"), "https://www.dailymotion.com/video/{}"),
-    (re.compile(r"^https?://player\.twitch\.tv/.*?[?&]video=v?(\d+)"), "https://www.twitch.tv/videos/{}"),
-    (re.compile(r"^https?://player\.twitch\.tv/.*?[?&]channel=(\w+)"), "https://www.twitch.tv/{}"),
-    (re.compile(r"^https?://v\.qq\.com/(?:txp/)?iframe/player\.html.*?[?&]vid=(\w+)"), "https://v.qq.com/x/page/{}.html"),
-    (re.compile(r"^https?://(?:www\.)?tiktok\.com/(?:embed(?:/v2)?|player/v1)/(\d+)"), "https://www.tiktok.com/video/{}"),
+    (re.compile(r"(?i)^(?:https?:)?//(?:www\.)?youtube(?:-nocookie)?\.com/embed/([\w-]+)"), "https://www.youtube.com/watch?v={}"),
+    (re.compile(r"(?i)^(?:https?:)?//youtu\.be/([\w-]+)"), "https://www.youtube.com/watch?v={}"),
+    (re.compile(r"(?i)^(?:https?:)?//player\.bilibili\.com/player\.html\?[^\"'\s]*?bvid=(BV[\w-]+)"), "https://www.bilibili.com/video/{}"),
+    (re.compile(r"(?i)^((?:https?:)?//player\.bilibili\.com/player\.html\?.*)"), "{}"),
+    (re.compile(r"(?i)^(?:https?:)?//player\.vimeo\.com/video/(\d+)"), "https://vimeo.com/{}"),
+    (re.compile(r"(?i)^(?:https?:)?//(?:www\.)?dailymotion\.com/embed/video/([\w-]+)"), "https://www.dailymotion.com/video/{}"),
+    (re.compile(r"(?i)^((?:https?:)?//player\.twitch\.tv/.*)"), "{}"),
+    (re.compile(r"(?i)^((?:https?:)?//clips\.twitch\.tv/embed\?.*)"), "{}"),
+    (re.compile(r"(?i)^((?:https?:)?//v\.qq\.com/.*)"), "{}"),
+    (re.compile(r"(?i)^((?:https?:)?//(?:www\.)?tiktok\.com/embed.*)"), "{}"),
 ]
+# Characters of a citation's own marks, and what they become in its text.
+CITATION_ESCAPES = {"\u3010": "\u3016", "\u3011": "\u3017", "\u25fc": "\u25fe", "\u200b": "", "\u2020": "\u2021"}
 
 
 def video_page(url: str | None) -> str | None:
@@ -227,7 +229,7 @@ class Renderer:
         if re.match(r"(?i)(mailto|javascript):", href):
             return text
         ref, own, other = self.linked(text, href, ""), urlsplit(self.o.base).netloc, urlsplit(href).netloc
-        clean = text.translate(str.maketrans({"†": "‡", "【": "〖", "】": "〗", "[": "［", "]": "］"}))
+        clean = text.translate(str.maketrans(CITATION_ESCAPES))
         return f"【{ref}†{clean}" + (f"†{other}" if other and other != own else "") + "】"
 
     def linked(self, text: str, href: str, title: str) -> int:

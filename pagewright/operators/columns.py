@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pagewright.functions import markup, urls
 from pagewright.functions.text import site_of
 from pagewright.operators.pages import estimated_tokens
-from pagewright.storage import table
+from pagewright.storage import bounded_broadcast, table
 
 
 def digests(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,22 +20,26 @@ def domains(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def language_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ISO 639-3 codes of labels, by an exact or an all-lower-case key, else `und`."""
-    codes = F.broadcast(table(spark, sf_dir, "languages").select("bcp47", "iso639_3"))  # fixed at 13 rows
+    """ISO 639-3 codes of labels, by the exact key, then by the all-lower-case one, else `und`."""
+    codes = bounded_broadcast(table(spark, sf_dir, "languages").select("bcp47", "iso639_3"))
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang")
-    return docs.join(codes, F.col("lang") == F.col("bcp47"), "left").select("doc_id", F.coalesce("iso639_3", F.lit("und")).alias("iso639_3"))
+    low = codes.select(F.lower("bcp47").alias("low"), F.col("iso639_3").alias("by_low")).dropDuplicates(["low"])
+    found = docs.join(codes, F.col("lang") == F.col("bcp47"), "left").join(bounded_broadcast(low), F.lower("lang") == F.col("low"), "left")
+    return found.select("doc_id", F.coalesce("iso639_3", "by_low", F.lit("und")).alias("iso639_3"))
 
 
 def front_matters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "formatted_pages")
-    text = markup.front_matter(F.col("title"), F.col("description"), F.col("url"), F.col("published_time"), F.col("warning"), F.col("content"))
-    return p.select("page_id", F.md5(text).alias("frontmatter_md5")).distinct()
+    """Front matter of every page, with its lists of images and links."""
+    p = table(spark, sf_dir, "formatted_pages").dropDuplicates(["page_id"])
+    text = markup.front_matter(F.col("title"), F.col("description"), F.col("url"), F.col("published_time"), F.col("warning"), F.col("content"), F.col("images"), F.col("links"))
+    return p.select("page_id", F.md5(text).alias("frontmatter_md5"))
 
 
 def plain_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "formatted_pages")
-    text = markup.plain_representation(F.col("title"), F.col("url"), F.col("published_time"), F.lit(None).cast("string"), F.col("num_pages"), F.col("content"))
-    return p.select("page_id", F.md5(text).alias("plain_md5")).distinct()
+    """Plain representation of every page, with its warning and lists of images and links."""
+    p = table(spark, sf_dir, "formatted_pages").dropDuplicates(["page_id"])
+    text = markup.plain_representation(F.col("title"), F.col("url"), F.col("published_time"), F.col("warning"), F.col("num_pages"), F.col("content"), F.col("images"), F.col("links"))
+    return p.select("page_id", F.md5(text).alias("plain_md5"))
 
 
 def statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,10 +91,20 @@ QUERIES = {
 _SITE = r"nullif(regexp_replace(regexp_extract(lower(%s), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1), '^www\.', ''), '')"
 _URL = _SITE.replace("%s", "url")
 _FALSE = "('', 'false', 'none', 'null', 'nan', 'nil', '0', 'no', 'undefined', 'disabled', 'f', 'n/a')"
+_ONE = "with p as (select page_id, any_value(title) as title, any_value(description) as description, any_value(url) as url, any_value(published_time) as published_time, any_value(warning) as warning, any_value(num_pages) as num_pages, any_value(content) as content, any_value(images) as images, any_value(links) as links from formatted_pages group by page_id)"
+
+
+def _LISTS(images: str, links: str) -> str:  # noqa: N802
+    """SQL of the lists of images and links under their headings."""
+    return f"""concat_ws(chr(10) || chr(10),
+  case when images is not null then '{images}' || chr(10) || case when cardinality(images) > 0 then array_to_string(list_transform(map_entries(images), lambda e: '- ![' || e.key || '](' || coalesce(e.value, '') || ')'), chr(10)) else '{markup.NO_IMAGES}' end end,
+  case when links is not null then '{links}' || chr(10) || case when len(links) > 0 then array_to_string(list_transform(links, lambda l: '- [' || coalesce(l.text, '') || '](' || coalesce(l.href, '') || ')'), chr(10)) else '{markup.NO_LINKS}' end end)"""
+
+
 ORACLE = {
     "url_digest": f"select distinct page_id, md5(lower(case when url like '%#/%' then url else regexp_replace(url, '#.*$', '') end)) as digest, {_URL} as site from formatted_pages",
     "registrable_domain": f"with s as (select distinct entry_id, string_split({_SITE.replace('%s', 'link')}, '.') as l from serp_entries) select entry_id, case when len(l) > 2 and length(l[-1]) = 2 and l[-2] in ('co', 'com', 'org', 'net', 'gov', 'edu', 'ac', 'or', 'ne', 'go', 'gob', 'govt') then array_to_string(l[-3:], '.') else array_to_string(l[-2:], '.') end as domain from s",
-    "bcp47_iso": "select doc_id, coalesce(iso639_3, 'und') as iso639_3 from documents left join languages on lang = bcp47",
+    "bcp47_iso": "select doc_id, coalesce(e.iso639_3, l.iso639_3, 'und') as iso639_3 from documents left join languages e on lang = e.bcp47 left join languages l on lower(lang) = lower(l.bcp47)",
     "status_warning": "select distinct page_id, case when status < 200 or status >= 400 then 'Target URL returned error ' || status || ': ' || coalesce(status_text, '') end as warning from snapshots",
     "charge_amount": "select page_id, least(2000000, coalesce(tokens, d, 0) + 765) as charge from (select distinct page_id, tokens, length(description) as d from formatted_pages)",
     "pseudo_bool": f"select distinct entry_id, not (variant is null or lower(trim(variant)) in {_FALSE}) as loose, case when variant is null or lower(trim(variant)) in {_FALSE} then false when lower(trim(variant)) in ('true', 'yes', '1', 'ok', 'enabled', 't') then true end as strict from serp_entries",
@@ -98,7 +112,12 @@ ORACLE = {
 select c_custkey, (a in (0, 10, 127) or a >= 224 or (a = 100 and b between 64 and 127) or (a = 169 and b = 254) or (a = 172 and b between 16 and 31) or (a = 192 and b = 168)) as non_public, (a = 100 and b between 64 and 127) as in_cidr from n""",
     "token_estimate": r"select doc_id, len(regexp_extract_all(text, '[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}]|[\p{L}\p{M}]+|\p{Nd}{1,3}|[^\s\p{L}\p{M}\p{Nd}]')) as tokens from documents",
     "batch_text": f"select {_URL} as site, count(*) as n_pages, cast(sum(length('### ' || url || case when warning is not null then chr(10) || '> Error: ' || warning else chr(10) || coalesce(title, '') end)) as bigint) as n_chars from (select distinct page_id, url, title, warning from formatted_pages) group by 1",
-    "plain_representation": """select distinct page_id, md5(concat_ws(chr(10) || chr(10), case when coalesce(title, '') <> '' then 'Title: ' || title end, case when coalesce(url, '') <> '' then 'URL Source: ' || url end,
-  case when coalesce(published_time, '') <> '' then 'Published Time: ' || published_time end, case when num_pages is not null then 'Number of Pages: ' || num_pages end, 'Markdown Content:' || chr(10) || coalesce(content, ''))) as plain_md5 from formatted_pages""",
+    "plain_representation": _ONE + """, m as (select *, concat_ws(chr(10) || chr(10), case when coalesce(published_time, '') <> '' then 'Published Time: ' || published_time end,
+  case when coalesce(warning, '') <> '' then 'Warning: ' || replace(warning, chr(10), chr(10) || 'Warning: ') end, case when num_pages <> 0 then 'Number of Pages: ' || num_pages end) as mixed from p)
+select page_id, md5('Title: ' || coalesce(title, '') || chr(10) || chr(10) || 'URL Source: ' || coalesce(url, '') || chr(10) || case when mixed <> '' then chr(10) || mixed || chr(10) else '' end
+  || chr(10) || 'Markdown Content:' || chr(10) || coalesce(content, '') || chr(10) || case when """ + _LISTS("Images:", "Links/Buttons:") + """ <> '' then chr(10) || """ + _LISTS("Images:", "Links/Buttons:") + """ || chr(10) else '' end) as plain_md5 from m""",
+    "frontmatter": _ONE + """ select page_id, md5(concat_ws(chr(10), '---', case when coalesce(title, '') <> '' then 'title: ' || to_json(title) end, case when coalesce(description, '') <> '' then 'description: ' || to_json(description) end,
+  case when coalesce(url, '') <> '' then 'url: ' || to_json(url) end, case when coalesce(published_time, '') <> '' then 'publishedTime: ' || to_json(published_time) end, case when coalesce(warning, '') <> '' then 'warning: ' || to_json(warning) end, '---')
+  || chr(10) || chr(10) || coalesce(content, '') || case when """ + _LISTS("## Images", "## Links/Buttons") + """ <> '' then chr(10) || chr(10) || """ + _LISTS("## Images", "## Links/Buttons") + """ || chr(10) else '' end) as frontmatter_md5 from p""",
     "links_unique_by_href": "with p as (select distinct page_id, links from formatted_pages), r as (select page_id, unnest(range(0, len(links))) as ord, unnest(links) as l from p) select page_id, l.href as href, cast(min(ord) as integer) as first_ord, count(*) as n from r where not regexp_matches(l.href, '^(file|javascript):') group by 1, 2",
 }

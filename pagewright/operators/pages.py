@@ -131,6 +131,19 @@ def register(spark: SparkSession) -> None:
         spark.udf.register(name, f)
 
 
+_TOKEN = r"(?:[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}]|[\p{L}\p{M}]+|\p{Nd}{1,3}|[^\s\p{L}\p{M}\p{Nd}])"
+
+
+def trimmed_to_tokens(text: Column, most: int) -> Column:
+    """The text up to its first `most` tokens by the rule of `estimated_tokens`."""
+    tokens = F.regexp_extract_all(text, F.lit(r"\s*" + _TOKEN), F.lit(0))
+    return F.when(F.size(tokens) > most, F.array_join(F.slice(tokens, 1, most), "")).otherwise(text)
+
+
+#: The rule of `estimated_tokens` in SQL of the checks.
+TOKEN_SQL = r"len(regexp_extract_all(%s, '[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}]|[\p{L}\p{M}]+|\p{Nd}{1,3}|[^\s\p{L}\p{M}\p{Nd}]'))"
+
+
 def estimated_tokens(text: Column) -> Column:
     """Tokens by a fixed rule: words of letters, single wide letters, runs of up to three digits and other marks."""
     return F.size(F.regexp_extract_all(text, F.lit(r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}]|[\p{L}\p{M}]+|\p{Nd}{1,3}|[^\s\p{L}\p{M}\p{Nd}]"), F.lit(0)))

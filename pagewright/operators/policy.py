@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pagewright.functions.text import site_of
 from pagewright.functions.urls import url_digest
+from pagewright.operators.pages import TOKEN_SQL, estimated_tokens
 from pagewright.storage import table
 
 # Tolerances and lifetimes in seconds.
@@ -71,27 +72,32 @@ def not_blocked(pages: DataFrame, blockades: DataFrame, now: Column, url: str =
 def robots_verdict(requests: DataFrame, robots: DataFrame) -> DataFrame:
     """(request_id, allowed): robots rules scanned in order, the first that matches wins.
 
-    requests: (request_id, origin, path, agent). robots: (origin, body). Rules hold below a line of the agent's exact lower-case
-    name or `*`. An empty rule, a missing body and a path without rule allow. `*` splits a Disallow in head and tail.
+    requests: (request_id, origin, path, agent). robots: (origin, body). Rules hold before any agent line, and below one that names `*` or the
+    agent's exact lower-case name. An empty rule, a missing body and a path without rule allow. Rules are compared with the path and a closing
+    `?`; a Disallow with `*` with the bare path's head and tail. Nothing but lines that begin with `#` is a comment.
     """
     lines = robots.select("origin", F.posexplode(F.split("body", "\r?\n")).alias("line_no", "raw"))
-    lines = lines.withColumn("raw", F.trim(F.regexp_replace("raw", "#.*$", ""))).filter("raw rlike '^[A-Za-z-]+ *:'")
-    lines = lines.select("origin", "line_no", F.lower(F.trim(F.regexp_extract("raw", "^([A-Za-z-]+) *:", 1))).alias("name"), F.trim(F.regexp_extract("raw", "^[A-Za-z-]+ *:(.*)$", 1)).alias("value"))
+    lines = lines.withColumn("raw", F.trim("raw")).filter("raw <> '' and raw not like '#%'")
+    lines = lines.select("origin", "line_no", F.lower(F.trim(F.substring_index("raw", ":", 1))).alias("name"), F.trim(F.regexp_extract("raw", "^[^:]*:(.*)$", 1)).alias("value"))
     order = Window.partitionBy("origin").orderBy("line_no")
     rules = lines.withColumn("agent_rule", F.last(F.when(F.col("name") == "user-agent", F.lower("value")), ignorenulls=True).over(order)).filter("name in ('allow', 'disallow')")
     rules = rules.select(F.col("origin").alias("r_origin"), "line_no", "name", "value", "agent_rule")
-    joined = requests.join(rules, (F.col("origin") == F.col("r_origin")) & ((F.col("agent_rule") == F.lower("agent")) | (F.col("agent_rule") == "*")), "left")
-    head, tail = F.substring_index("value", "*", 1), F.regexp_extract("value", r"\*(.*)$", 1)
-    starred = F.col("path").startswith(head) & F.col("path").endswith(F.regexp_replace(tail, r"\$$", ""))
-    match = F.when(F.col("value") == "", True).when((F.col("name") == "disallow") & F.col("value").contains("*"), starred).otherwise(F.col("path").startswith(F.col("value")))
+    joined = requests.join(rules, (F.col("origin") == F.col("r_origin")) & (F.col("agent_rule").isNull() | (F.col("agent_rule") == F.lower("agent")) | (F.col("agent_rule") == "*")), "left")
+    parts = F.split("value", r"\*")
+    starred = F.col("path").startswith(parts[0]) & F.col("path").endswith(F.get(parts, F.lit(1)))
+    match = F.when(F.col("value") == "", True).when((F.col("name") == "disallow") & F.col("value").contains("*"), starred).otherwise(F.concat("path", F.lit("?")).startswith(F.col("value")))
     verdict = (F.col("value") == "") | (F.col("name") == "allow")
     first = joined.groupBy("request_id").agg(F.min_by(F.when(match, verdict), F.when(match, F.col("line_no"))).alias("v"))
     return first.select("request_id", F.coalesce("v", F.lit(True)).alias("allowed"))
 
 
-def index_eligible(title: Column, intermediate: Column, status: Column, tokens: Column) -> Column:
-    """Whether a snapshot is worth indexing: titled, final, and long enough unless its status is 200."""
-    return (F.coalesce(title, F.lit("")) != "") & ~F.coalesce(intermediate, F.lit(False)) & ((F.coalesce(tokens, F.lit(0)) >= 200) | (status == 200))
+def index_eligible(title: Column, intermediate: Column, status: Column, tokens: Column, elements: Column, traits: Column, html: Column) -> Column:
+    """Whether a snapshot is worth indexing: titled, final if a browser made it, and, where no trait tells its kind, of 200 tokens or a
+    good status without a challenge."""
+    challenge = html.contains("captcha") | html.contains("cf-turnstile")
+    full = (F.coalesce(tokens, F.lit(0)) >= 200) | (status.eqNullSafe(200) & ~F.coalesce(challenge, F.lit(False)))
+    made = (F.coalesce(elements, F.lit(0)) > 0) & F.coalesce(intermediate, F.lit(False))
+    return (F.trim(F.coalesce(title, F.lit(""))) != "") & ~made & ((F.coalesce(F.size(traits), F.lit(0)) > 0) | full)
 
 
 def next_action(status: Column, tokens: Column) -> Column:
@@ -105,10 +111,16 @@ def abusive(requests: DataFrame) -> DataFrame:
     return by.filter((F.col("n") > MOST_REQUESTS) | (F.col("n_documents") > MOST_DOCUMENTS) | (F.col("n_domains") > MOST_DOMAINS))
 
 
+# Alternative texts that say nothing.
+GENERIC_ALTS = ["image", "img", "photo", "picture", "pic", "alt", "figure", "fig", "图片"]
+
+
 def image_alt_decision(alt: Column, generated: Column, width: Column, height: Column) -> Column:
-    """Alternative text: the page's unless it is a generic word, texts for trackers and icons, else the generated one."""
-    generic = F.lower(F.trim(alt)).isin("image", "img", "photo", "picture", "pic", "logo", "icon", "alt", "null", "undefined")
-    return F.when((F.coalesce(alt, F.lit("")) != "") & ~generic, alt).when((width <= 1) | (height <= 1), "A tracker image").when((width < 64) | (height < 64), "An icon").otherwise(generated)
+    """Alternative text: the page's unless it is a generic word, texts for trackers and small images, else the generated one."""
+    size = F.concat(F.lit("A "), width.cast("string"), F.lit("x"), height.cast("string"))
+    least = F.least(width, height)
+    small = F.when(least <= 1, F.concat(size, F.lit(" image, likely be a tacker probe"))).when(least < 64, F.concat(size, F.lit(" small image, likely a logo, icon or avatar")))
+    return F.when((F.trim(F.coalesce(alt, F.lit(""))) != "") & ~F.lower(F.trim(alt)).isin(*GENERIC_ALTS), alt).when(small.isNotNull(), small).otherwise(F.coalesce(generated, F.lit("")))
 
 
 # Queries over the page cache, snapshots and events.
@@ -141,27 +153,30 @@ def error_gate_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def blockade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages off the hosts that are blocked: here the five sites of the lowest ids."""
-    blocked = table(spark, sf_dir, "sites").filter("site_id <= 5").select(F.col("host").alias("domain"), F.lit("2999-01-01 00:00:00").cast("timestamp").alias("expire_at"))
+    """Pages off the hosts that are blocked on 2026-01-01: every third site, for a time that its id tells."""
+    sites = table(spark, sf_dir, "sites")
+    blocked = sites.select(F.col("host").alias("domain"), F.when(F.col("site_id") % 3 == 0, F.lit("2999-01-01 00:00:00")).otherwise("2025-01-01 00:00:00").cast("timestamp").alias("expire_at"))
     pages = table(spark, sf_dir, "formatted_pages").select("page_id", "url").distinct()
     return not_blocked(pages, blocked, F.lit("2026-01-01 00:00:00").cast("timestamp")).select("page_id").distinct()
 
 
 def eligibility(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shots = table(spark, sf_dir, "snapshots").select("page_id", "title", "is_intermediate", "status", F.length("text").alias("n")).distinct()
-    return shots.filter(index_eligible(F.col("title"), F.col("is_intermediate"), F.col("status"), F.col("n"))).select("page_id").distinct()
+    """Snapshots worth indexing."""
+    shots = table(spark, sf_dir, "snapshots").withColumn("n", estimated_tokens(F.col("text")))
+    return shots.filter(index_eligible(F.col("title"), F.col("is_intermediate"), F.col("status"), F.col("n"), F.col("elem_count"), F.col("traits"), F.col("html"))).select("page_id").distinct()
 
 
 def robots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Verdicts on every site's pages by one body of rules."""
-    body = "User-agent: other\nDisallow: /\n\nUser-agent: *\nAllow: /kelkel\nDisallow: /kel*1\nDisallow: /zim\nDisallow:"
-    pages = table(spark, sf_dir, "formatted_pages").select(F.col("page_id").alias("request_id"), site_of(F.col("url")).alias("origin"), F.regexp_extract("url", r"^[A-Za-z]+://[^/?#]+([^?#]*)", 1).alias("path"), F.lit("reader").alias("agent")).distinct()
-    rules = table(spark, sf_dir, "sites").select(F.col("host").alias("origin"), F.lit(body).alias("body"))
-    return robots_verdict(pages, rules)
+    """Verdicts on every page's path by its site's rules, which differ with the site's name and id."""
+    pages = table(spark, sf_dir, "formatted_pages").select(F.col("page_id").alias("request_id"), site_of(F.col("url")).alias("origin"), F.regexp_extract("url", r"^[A-Za-z]+://[^/?#]+([^?#]*)", 1).alias("path"), F.lit("Reader").alias("agent")).distinct()
+    lines = ["# rules", "Disallow: /", F.substr("host", F.lit(1), F.lit(3)), "\nAllow: /kelkel\nUser-agent: other\nDisallow: /\n\nUSER-AGENT: ", F.element_at(F.array(F.lit("*"), F.lit("reader"), F.lit("Other")), (F.col("site_id") % 3 + 1).cast("int")), "\nDisallow: /kel*1\nDisallow: /zim # old\nDisallow: /nor?\nDisallow: /va*-1*x\nDisallow: /", F.substr("host", F.lit(4), F.lit(3)), "\nAllow:\nDisallow: /"]
+    body = F.concat(*(F.lit(x.replace("rules", "rules\n")) if isinstance(x, str) else x for x in lines))
+    return robots_verdict(pages, table(spark, sf_dir, "sites").select(F.col("host").alias("origin"), body.alias("body")))
 
 
 def status_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shots = table(spark, sf_dir, "snapshots").select("page_id", "status", F.length("text").alias("n")).distinct()
+    """What follows each fetch."""
+    shots = table(spark, sf_dir, "snapshots").select("page_id", "status", estimated_tokens(F.col("text")).alias("n"))
     return shots.select("page_id", next_action(F.col("status"), F.col("n")).alias("next_action")).distinct()
 
 
@@ -180,9 +195,18 @@ ORACLE = {
     "cache_locale": _ASOF.replace("<ON>", "and c.locale is not distinct from req.locale").replace("<OUT>", ""),
     "error_gate": """with m as (select user_id, max(case when event_type = 'purchase' then ts end) as ok, max(ts) as now from events group by user_id)
 select user_id as key, count(*) as n_errors from events join m using (user_id) where event_type <> 'purchase' and (ok is null or ts > ok) and ts >= now - interval 30 day group by user_id having count(*) > 2""",
-    "blockade_antijoin": f"select distinct page_id from formatted_pages where {_SITE} not in (select host from sites where site_id <= 5)",
-    "index_eligibility": "select distinct page_id from snapshots where coalesce(title, '') <> '' and not coalesce(is_intermediate, false) and (coalesce(length(text), 0) >= 200 or status = 200)",
-    "next_action": "select distinct page_id, case when status in (201, 202, 404, 405) then 'keep' when length(text) < 42 or status <> 200 then 'retry' else 'keep' end as next_action from snapshots",
-    "robots_verdict": r"""with p as (select distinct page_id as request_id, regexp_extract(url, '^[A-Za-z]+://[^/?#]+([^?#]*)', 1) as path from formatted_pages)
-select request_id, case when starts_with(path, '/kelkel') then true when starts_with(path, '/kel') and ends_with(path, '1') then false when starts_with(path, '/zim') then false else true end as allowed from p""",
+    "blockade_antijoin": f"select distinct page_id from formatted_pages where {_SITE} not in (select host from sites where site_id % 3 = 0)",
+    "index_eligibility": f"""select distinct page_id from snapshots where trim(coalesce(title, '')) <> '' and not (coalesce(elem_count, 0) > 0 and coalesce(is_intermediate, false))
+  and (len(coalesce(traits, [])) > 0 or coalesce({TOKEN_SQL % "text"}, 0) >= 200 or (status = 200 and not coalesce(html like '%captcha%' or html like '%cf-turnstile%', false)))""",
+    "next_action": f"select distinct page_id, case when status in (201, 202, 404, 405) then 'keep' when {TOKEN_SQL % 'text'} < 42 or status <> 200 then 'retry' else 'keep' end as next_action from snapshots",
+    # the rules as rows, read in order
+    "robots_verdict": rf"""with p as (select distinct page_id, {_SITE} as host, regexp_extract(url, '^[A-Za-z]+://[^/?#]+([^?#]*)', 1) as path from formatted_pages),
+body as (select host, '# rules' || chr(10) || 'Disallow: /' || host[1:3] || chr(10) || 'Allow: /kelkel' || chr(10) || 'User-agent: other' || chr(10) || 'Disallow: /' || chr(10) || chr(10) || 'USER-AGENT: ' || (['*', 'reader', 'Other'])[site_id % 3 + 1]
+  || chr(10) || 'Disallow: /kel*1' || chr(10) || 'Disallow: /zim # old' || chr(10) || 'Disallow: /nor?' || chr(10) || 'Disallow: /va*-1*x' || chr(10) || 'Disallow: /' || host[4:6] || chr(10) || 'Allow:' || chr(10) || 'Disallow: /' as body from sites),
+rows as (select host, unnest(string_split(body, chr(10))) as line, unnest(range(0, len(string_split(body, chr(10))))) as n from body),
+named as (select host, n, lower(trim(string_split(line, ':')[1])) as name, trim(regexp_extract(line, '^[^:]*:(.*)$', 1)) as value from rows where trim(line) <> '' and line not like '#%'),
+ruled as (select *, last_value(case when name = 'user-agent' then lower(value) end ignore nulls) over (partition by host order by n) as agent from named),
+hits as (select page_id, n, value = '' or name = 'allow' as verdict from p join ruled using (host) where name in ('allow', 'disallow') and (agent is null or agent in ('*', 'reader')) and
+  case when value = '' then true when name = 'disallow' and contains(value, '*') then starts_with(path, string_split(value, '*')[1]) and ends_with(path, string_split(value, '*')[2]) else starts_with(path || '?', value) end)
+select p.page_id as request_id, coalesce(arg_min(verdict, n), true) as allowed from p left join hits using (page_id) group by p.page_id""",
 }

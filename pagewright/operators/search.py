@@ -86,18 +86,21 @@ def top_k(results: DataFrame, k: int, qualified: Column, query: str = "query_dig
     return results.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= k).drop("_n")
 
 
-def relaxed_queries(query: str, right_to_left: bool = False, tries: int = 3) -> list[str]:
-    """Candidates in turn: a quarter of the terms dropped each time, from the end, or the beginning for right-to-left scripts."""
-    terms, out = query.split(), [query]
-    for _ in range(tries):
-        n = max(1, -(-len(terms) // 4))
-        terms = (terms[n:] if right_to_left else terms[:-n]) if len(terms) > n else terms
-        candidate = " ".join(terms)
-        if candidate and candidate != out[-1]:
-            out.append(candidate)
-    words = query.split()
-    last = " ".join(words[-2:] if right_to_left else words[:2])
-    return out if last in out else [*out, last]
+# Letters of scripts that are written from right to left.
+RIGHT_TO_LEFT = "[\u0590-\u05ff\u0600-\u06ff\u0700-\u074f\u0750-\u077f\u0780-\u07bf\u07c0-\u07ff\u08a0-\u08ff\ufb1d-\ufb4f\ufb50-\ufdff\ufe70-\ufeff]"
+
+
+def relaxed_queries(query: Column, tries: int = 3) -> Column:
+    """Candidates in turn: the query, then without one, two and three quarters of its terms, from the end, or from the beginning in scripts
+    written from right to left; at last two terms."""
+    terms = F.split(F.trim(query), r"\s+")
+    back = query.rlike(RIGHT_TO_LEFT)
+    n = F.size(terms)
+    quarter = F.ceil(n / 4).cast("int")
+    left = [F.greatest(n - quarter * k, F.lit(0)) for k in range(1, tries + 1)]
+    take = lambda k: F.array_join(F.when(back, F.slice(terms, n - k + 1, k)).otherwise(F.slice(terms, 1, k)), " ")
+    last = F.least(n, F.lit(2))
+    return F.filter(F.array_distinct(F.array(F.array_join(terms, " "), *(F.when(k > 0, take(k)) for k in left), take(last))), lambda q: q.isNotNull() & (q != ""))
 
 
 def search_charge(results: DataFrame, tokens: str, per_ten: int = 10_000, scaler: float = 1.0, cap: int = 2_000_000, query: str = "query_digest") -> DataFrame:
@@ -159,8 +162,9 @@ def search_local_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def query_relaxation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(q, i, c) for q in ("reading web pages as clean markdown text today", "two words", "مكتبة الموقع يحفظ المصدر") for i, c in enumerate(relaxed_queries(q, right_to_left=q[0] > "֐"))]
-    return spark.createDataFrame(rows, "query string, attempt int, candidate string")
+    """The candidates of every title among the results, taken as a query."""
+    titles = table(spark, sf_dir, "serp_entries").filter("trim(title) <> ''").select("entry_id", "title").distinct()
+    return titles.select("entry_id", F.posexplode(relaxed_queries(F.col("title"))).alias("attempt", "candidate"))
 
 
 QUERIES = {
@@ -172,6 +176,11 @@ _ROWS = "serp as (select distinct entry_id, query_digest, provider, provider_ord
 _UNIQUE = f"uniq as (select * from serp qualify row_number() over (partition by query_digest, {_DIGEST} order by provider_ord, rank, entry_id) = 1)"
 _SITE = r"regexp_replace(regexp_extract(lower(link), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1), '^www\.', '')"
 ORACLE = {
+    "query_relaxation": rf"""with t as (select distinct entry_id, title, regexp_split_to_array(trim(title), '\s+') as w, regexp_matches(title, '{RIGHT_TO_LEFT}') as back from serp_entries where trim(title) <> ''),
+k as (select *, len(w) as n, cast(ceil(len(w) / 4.0) as bigint) as q from t),
+c as (select entry_id, unnest([n, greatest(n - q, 0), greatest(n - 2 * q, 0), greatest(n - 3 * q, 0), least(n, 2)]) as m, unnest([0, 1, 2, 3, 4]) as i, w, n, back from k),
+d as (select entry_id, min(i) as i, array_to_string(case when back then w[n - m + 1 : n] else w[1 : m] end, ' ') as candidate from c where m > 0 group by entry_id, candidate)
+select entry_id, cast(row_number() over (partition by entry_id order by i) - 1 as integer) as attempt, candidate from d""",
     "search_relevance": rf"""with {_ROWS}, t as (select entry_id, lower(concat_ws(' ', title, snippet, regexp_replace(regexp_replace(link, '[?#].*$', ''), '^[a-z]+://', ''))) as t from serp)
 select entry_id from t where contains(t, 'garden') or contains(t, 'station') or contains(t, 'library')""",
     "search_provider_argmin": f"with {_ROWS} select entry_id, query_digest, provider_ord from serp qualify provider_ord = min(provider_ord) over (partition by query_digest)",

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pagewright.functions import markup
 from pagewright.kernel.render import RenderOptions
 from pagewright.operators.chunks import chunk, parse_strategy
-from pagewright.operators.pages import estimated_tokens, read_pages
+from pagewright.operators.pages import estimated_tokens, read_pages, trimmed_to_tokens
 
 FORMATS = ("content", "markdown", "html", "text", "pageshot", "screenshot", "vlm", "readerlm", "frontmatter")
 # Bundles of options by name.
@@ -188,6 +188,8 @@ def formatted(pages: DataFrame, options: ReadOptions | None = None) -> DataFrame
     """
     o = options or ReadOptions()
     parts = set(o.respond_with.split("+"))
+    if o.with_iframe or o.with_shadow_dom:
+        raise OptionError("frames and shadow trees aren't part of the pages' markup")
     if o.assert_status is not None:
         pages = pages.withColumn("assertion", F.when(F.col("status") != o.assert_status, F.lit("AssertionFailure")))
     want = {"title", "description", "metadata"}
@@ -198,19 +200,26 @@ def formatted(pages: DataFrame, options: ReadOptions | None = None) -> DataFrame
     base = F.coalesce("href", "url") if o.base == "final" else F.col("url")
     read = read_pages(pages.withColumn("base_url", base), tuple(want), o.renderer(), list(o.target_selector) or None, list(o.remove_selector) or None, url="base_url", content_only="content" in parts)
     out = read.withColumn("published_time", F.element_at(F.col("metadata")["article:published_time"], 1)).withColumn("status_warning", markup.status_warning(F.col("status"), F.col("status_text")))
+    links = links_summary(F.col("links"), o.with_links_summary) if o.with_links_summary else None
+    images = markup.images_summary(F.col("images")) if o.with_images_summary else None
     if "markdown" in want:
+        if o.max_tokens is not None:
+            out = out.withColumn("markdown", trimmed_to_tokens(F.col("markdown"), o.max_tokens))
         out = out.withColumn("tokens", estimated_tokens(F.col("markdown")))
-        thin = markup.thin_warnings(F.col("tokens"), F.col("is_intermediate"), F.lit(False), F.col("is_from_cache"))
+        thin = markup.thin_warnings(F.col("tokens"), F.col("is_intermediate"), F.lit(False), F.col("is_from_cache"), F.col("html"))
         out = out.withColumn("warning", F.concat_ws("\n", "status_warning", F.nullif(thin, F.lit(""))))
+        chunks = None
         if o.markdown_chunking and (strategy := parse_strategy(o.markdown_chunking)):
-            out = out.withColumn("chunks", chunk(F.col("markdown"), *strategy))
+            out = out.withColumn("chunks", chunk(F.col("markdown"), *strategy, F.col("title")))
+            chunks = F.col("chunks")
         if o.token_budget is not None:
             out = out.withColumn("budget_error", F.when(F.col("tokens") > o.token_budget, F.lit("BudgetExceeded")))
-        links = links_summary(F.col("links"), o.with_links_summary) if o.with_links_summary else None
         if "frontmatter" in parts:
-            out = out.withColumn("representation", markup.front_matter(F.col("title"), F.col("description"), F.col("url"), F.col("published_time"), F.col("warning"), F.col("markdown"), None, links))
+            out = out.withColumn("representation", markup.front_matter(F.col("title"), F.col("description"), F.col("url"), F.col("published_time"), F.col("warning"), F.col("markdown"), images, links))
         else:
-            out = out.withColumn("representation", markup.plain_representation(F.col("title"), F.col("url"), F.col("published_time"), F.col("warning"), F.lit(None), F.col("markdown"), None, links))
+            out = out.withColumn("representation", markup.plain_representation(F.col("title"), F.col("url"), F.col("published_time"), F.col("warning"), F.lit(None), F.col("markdown"), images, links, chunks=chunks))
+    elif parts & {"html", "text"}:
+        out = out.withColumn("representation", F.col("html") if "html" in parts else F.col("text"))
     return out.drop("status_warning", "base_url")
 
 

@@ -28,17 +28,32 @@ def latest_observation(observations: DataFrame, key: str = "key", order: str = "
     return observations.groupBy(key).agg(F.max(F.struct(order, *rest)).alias("m")).select(key, "m.*")
 
 
-def early_accept(timing: Column, ready: Column, mutation_idle: Column, media_idle: Column, network_idle: Column) -> Column:
-    """Whether an observation does for a timing: html at once, the others once what they wait for has been quiet."""
+def presumed_timing(explicit: Column, timeout: Column, iframe: Column, respond_with: Column, elapsed_ms: Column) -> Column:
+    """The timing that options imply; elapsed_ms counts from the first look at a snapshot."""
+    true = lambda c: F.coalesce(c, F.lit(False))
     return (
-        F.when(timing == "html", True).when(timing == "visible-content", ready).when(timing == "mutation-idle", mutation_idle >= MUTATION_IDLE)
-        .when(timing == "resource-idle", media_idle >= RESOURCE_IDLE).when(timing == "media-idle", media_idle >= RESOURCE_IDLE).when(timing == "network-idle", network_idle >= RESOURCE_IDLE).otherwise(False)
+        F.when(explicit.isNotNull(), explicit).when(true(timeout >= 20) | true(iframe), "network-idle").when(true(respond_with.rlike("shot|vlm")), "media-idle")
+        .when(true(elapsed_ms > 5000), "mutation-idle").otherwise("resource-idle")
     )
 
 
-def presumed_timing(explicit: Column, timeout: Column, iframe: Column, shot: Column) -> Column:
-    """The timing that options imply."""
-    return F.when(explicit.isNotNull(), explicit).when(timeout.isNull() & iframe, "network-idle").when(timeout >= 20, "network-idle").when(shot, "media-idle").when(timeout >= 5, "mutation-idle").otherwise("resource-idle")
+def early_accept(timing: Column, now: Column, seen: dict[str, Column], respond_with: Column, wait_selector: Column, scripts: Column, iframe: Column) -> Column:
+    """Whether a snapshot does for a timing.
+
+    now in ms; seen: media_loaded, content_loaded, mutation_idle (times in ms or null), parsed_content, html (strings), pageshot, screenshot,
+    is_intermediate (booleans). wait_selector, scripts, iframe: whether the options have them.
+    """
+    true = lambda c: F.coalesce(c, F.lit(False))
+    some = lambda c: F.coalesce(c, F.lit("")) != ""
+    quiet = seen["mutation_idle"].isNotNull()
+    media = (timing == "media-idle") & seen["media_loaded"].isNotNull() & quiet & (F.greatest(seen["media_loaded"], F.coalesce(seen["content_loaded"], F.lit(0))) + RESOURCE_IDLE < now)
+    resource = (timing == "resource-idle") & seen["content_loaded"].isNotNull() & quiet & (seen["content_loaded"] + RESOURCE_IDLE < now)
+    wants = lambda word: true(respond_with.contains("vlm") | respond_with.contains(word))
+    return (
+        F.when(true(wait_selector), False).when(true(media), True).when(wants("pageshot") & ~true(seen["pageshot"]), False).when(wants("screenshot") & ~true(seen["screenshot"]), False)
+        .when(true(resource), True).when(true(scripts), False).when((timing == "visible-content") & some(seen["parsed_content"]), True).when((timing == "html") & some(seen["html"]), True)
+        .when(timing == "network-idle", False).when((timing == "mutation-idle") & quiet, True).when(true(respond_with.contains("lm")), False).when(true(iframe), False).otherwise(~true(seen["is_intermediate"]))
+    )
 
 
 def throttled_reports(observations: DataFrame) -> DataFrame:

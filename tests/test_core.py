@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import time
 import zipfile
 
 import pytest
@@ -14,6 +15,7 @@ from pagewright.kernel import jsontext
 from pagewright.kernel.ip import in_cidr, is_non_public
 from pagewright.kernel.timeparse import local_to_utc, readings
 from pagewright.operators import chunks, policy, search, timestamps
+from pagewright.operators.pages import trimmed_to_tokens
 from pagewright.plans.options import OptionError, ReadOptions, formatted, from_headers
 from pagewright.sources.documents import csv_markdown, decode_html, document_markdown, parse_feed, pdf_pages
 from pagewright.streaming import observations
@@ -124,8 +126,11 @@ def test_columns(spark) -> None:  # noqa: ANN001
     assert one(markup.status_warning(lit(404), lit("Not Found"))).endswith("404: Not Found")
     md = "intro\n# A\na\n## B\nb\n# C\nc"
     assert one(chunks.chunk(lit(md), 1)) == ["intro", "# A\na\n\n## B\nb", "# C\nc"]
-    assert one(chunks.chunk(lit(md), 2, True))[2] == "A\n\n## B\nb"
-    assert [r["parents"] for r in one(chunks.heading_nodes(lit(md)))] == [[], [], ["A"], []]
+    assert one(chunks.chunk(lit(md), 2, True, lit("T"))) == ["intro", "# T\n# A\n\na", "# T\n# A\n## B\n\nb", "# T\n# C\n\nc"]
+    assert [r["parents"] for r in one(chunks.heading_nodes(lit(md)))] == [[], [], ["# A"], []]
+    many = "".join(f"\n{'#' * (i % 4 + 1)} H{i}\ntext {i}" for i in range(800))
+    began = time.time()
+    assert len(one(chunks.chunk(lit(many), 4, True, lit("T")))) == 800 + 1 and time.time() - began < 20
     assert one(search.relevant(lit("Café 北京"), lit("t"), lit("im café"), lit("http://x"))) and not one(search.relevant(lit("zebra"), lit("t"), lit("s"), lit("http://x?q=zebra")))
 
 
@@ -134,12 +139,51 @@ def test_robots(spark) -> None:  # noqa: ANN001
     robots = spark.createDataFrame([("o", body)], "origin string, body string")
     requests = spark.createDataFrame([(1, "o", "/x1y", "A"), (2, "o", "/p/q", "a"), (3, "o", "/z", "a"), (4, "o", "/z", "b"), (5, "none", "/z", "a")], "request_id long, origin string, path string, agent string")
     assert {r["request_id"]: r["allowed"] for r in policy.robots_verdict(requests, robots).collect()} == {1: False, 2: True, 3: False, 4: True, 5: True}
+    rules = spark.createDataFrame([("q", "Disallow: /a?\nDisallow: /b # c\nDisallow: /d*e$"), ("r", "Disallow: /\nUser-agent: x\nAllow: /")], "origin string, body string")
+    asked = spark.createDataFrame([(1, "q", "/a", "z"), (2, "q", "/b", "z"), (3, "q", "/d1e", "z"), (4, "r", "/", "z")], "request_id long, origin string, path string, agent string")
+    assert {r["request_id"]: r["allowed"] for r in policy.robots_verdict(asked, rules).collect()} == {1: False, 2: True, 3: True, 4: False}
+
+
+def test_representations(spark) -> None:  # noqa: ANN001
+    one = lambda c: spark.range(1).select(c).first()[0]
+    null = F.lit(None).cast("string")
+    links = F.array(F.struct(F.lit("a").alias("text"), F.lit("u").alias("href")))
+    plain = one(markup.plain_representation(F.lit("T"), F.lit("u"), F.lit("2021"), F.lit("w\nx"), F.lit(2), F.lit("c"), None, links))
+    assert plain == "Title: T\n\nURL Source: u\n\nPublished Time: 2021\n\nWarning: w\nWarning: x\n\nNumber of Pages: 2\n\nMarkdown Content:\nc\n\nLinks/Buttons:\n- [a](u)\n"
+    assert one(markup.plain_representation(F.lit("T"), F.lit("u"), null, null, F.lit(None), F.lit("c"))) == "Title: T\n\nURL Source: u\n\nMarkdown Content:\nc\n"
+    assert one(markup.plain_representation(F.lit("T"), F.lit("u"), null, null, F.lit(None), null, instead=[null, F.lit("<p>")])) == "<p>"
+    empty = F.create_map().cast("map<string,string>")
+    assert one(markup.front_matter(F.lit("T"), null, F.lit("u"), null, null, F.lit("c"), empty, links)) == '---\ntitle: "T"\nurl: "u"\n---\n\nc\n\n## Images\nThis page does not seem to contain any images.\n\n## Links/Buttons\n- [a](u)\n'
+    images = F.array(*(F.struct(F.lit(s).alias("src"), F.lit(a).alias("alt")) for s, a in (("x", "A"), ("y", ""), ("x", "B"))))
+    assert one(markup.images_summary(images)) == {"Image 1: A": "x", "Image 2": "y"}
+    assert one(trimmed_to_tokens(F.lit("one two  three, four"), 3)) == "one two  three"
+
+
+def test_timing(spark) -> None:  # noqa: ANN001
+    lit, none = F.lit, F.lit(None)
+    one = lambda c: spark.range(1).select(c).first()[0]
+    presumed = lambda explicit=none, timeout=none, iframe=lit(False), respond=lit("content"), elapsed=none: one(observations.presumed_timing(explicit, timeout, iframe, respond, elapsed))
+    assert presumed() == "resource-idle" and presumed(timeout=lit(20)) == presumed(iframe=lit(True), timeout=lit(3)) == "network-idle"
+    assert presumed(timeout=lit(6)) == "resource-idle" and presumed(elapsed=lit(5001)) == "mutation-idle" and presumed(respond=lit("screenshot")) == "media-idle"
+    seen = {k: none for k in ("media_loaded", "content_loaded", "mutation_idle", "parsed_content", "html", "pageshot", "screenshot", "is_intermediate")}
+    accept = lambda timing, respond="content", wait=False, scripts=False, iframe=False, **x: one(observations.early_accept(lit(timing), lit(2000), {**seen, **{k: lit(v) for k, v in x.items()}}, lit(respond), lit(wait), lit(scripts), lit(iframe)))
+    assert accept("html", html="<p>") and not accept("html", html="<p>", wait=True) and not accept("html", html="<p>", scripts=True)
+    assert accept("resource-idle", content_loaded=1000, mutation_idle=1, is_intermediate=True) and not accept("resource-idle", content_loaded=1600, mutation_idle=1, is_intermediate=True)
+    assert not accept("network-idle") and not accept("media-idle", respond="screenshot") and accept("mutation-idle", mutation_idle=1, is_intermediate=True)
+    assert accept("resource-idle", is_intermediate=False) and not accept("resource-idle", is_intermediate=False, iframe=True)
+
+
+def test_relaxation_and_alts(spark) -> None:  # noqa: ANN001
+    one = lambda c: spark.range(1).select(c).first()[0]
+    assert one(search.relaxed_queries(F.lit("a b c d e f g h"))) == ["a b c d e f g h", "a b c d e f", "a b c d", "a b"]
+    assert one(search.relaxed_queries(F.lit("א ב ג ד"))) == ["א ב ג ד", "ב ג ד", "ג ד", "ד"] and one(search.relaxed_queries(F.lit("ก ข ค")))[1] == "ก ข"
+    alt = lambda a, w, h: one(policy.image_alt_decision(F.lit(a).cast("string"), F.lit("G"), F.lit(w), F.lit(h)))
+    assert (alt("A cat", 9, 9), alt("Figure", 100, 100), alt(None, 1, 5), alt("", 32, 90), alt("logo", 90, 90)) == ("A cat", "G", "A 1x5 image, likely be a tacker probe", "A 32x90 small image, likely a logo, icon or avatar", "logo")
 
 
 def test_search_helpers() -> None:
     assert search.with_operators("q", site=["a", "b"], ext="pdf") == "q ext:pdf AND (site:a OR site:b)"
     assert search.parse_query("x -site:A site:b y") == {"terms": ["x", "y"], "must": ["b"], "must_not": ["a"]}
-    assert search.relaxed_queries("a b c d e f g h")[1:3] == ["a b c d e f", "a b c d"]
 
 
 def test_options() -> None:

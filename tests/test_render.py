@@ -73,6 +73,8 @@ def test_narrow_and_inventories() -> None:
     assert nw.image_inventory(root, "https://h/") == [{"src": "https://h/i.png", "alt": None, "width": 5, "height": None}]
     assert nw.inner_text(nw.narrow(parse_html(html), ["article"], ["a"])) == "H"
     assert nw.narrow(parse_html(html), ["section"]) is None
+    kept = nw.narrow(parse_html(html), ["article"])  # the head stays
+    assert (nw.title_of(kept), nw.description_of(kept), nw.metadata(kept)["lang"]) == ("T", "D", ["de"])
     assert depth_and_count(parse_html("<p><b>x</b></p>")) == (4, 4)
 
 
@@ -83,9 +85,12 @@ def test_urls() -> None:
     assert normalise("https://a.b/?utm_source=x&k=1")[0] == "https://a.b/?k=1"
     assert normalise("http://10.0.0.1/")[1] == "private address"
     assert video_page("https://player.vimeo.com/video/12") == "https://vimeo.com/12"
+    for own in ("https://player.twitch.tv/?channel=x", "HTTPS://clips.twitch.tv/embed?clip=y", "https://v.qq.com/txp/iframe/player.html?vid=1", "https://player.bilibili.com/player.html?aid=7"):
+        assert video_page(own) == own
 
 
 def test_clean_for_lm() -> None:
     out = nw.clean_for_lm('<div class="flex p-4 card" data-x=1 style="color:red"><!-- c --><img src="data:abc"></div>')
     assert 'class="card"' in out
+    assert 'class="content list table sidebar-box caption"' in nw.clean_for_lm('<p class="content list table sidebar-box caption text-lg">x</p>')
     assert "data-x" not in out and "<!--" not in out and "blob:opaque" in out
