@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagewright.functions import markup, urls
 from pagewright.functions.text import site_of
 from pagewright.operators.pages import estimated_tokens
+from pagewright.operators.results import batch_answer
 from pagewright.storage import bounded_broadcast, table
 
 
@@ -71,10 +72,12 @@ def squeezed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def batch_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages of one site as one text, in order; failures by their warning."""
-    p = table(spark, sf_dir, "formatted_pages").select("page_id", "url", "title", "warning").distinct()
-    block = F.concat(F.lit("### "), F.col("url"), F.when(F.col("warning").isNotNull(), F.concat(F.lit("\n> Error: "), F.col("warning"))).otherwise(F.concat(F.lit("\n"), F.coalesce("title", F.lit("")))))
-    return p.groupBy(site_of(F.col("url")).alias("site")).agg(F.count(F.lit(1)).alias("n_pages"), F.sum(F.length(block)).alias("n_chars"))
+    """The result rows of every query as one batch: each answer in order, with its error where there is no snippet."""
+    rows = table(spark, sf_dir, "serp_entries").dropDuplicates(["entry_id"])
+    order = F.row_number().over(Window.partitionBy("query_digest").orderBy("provider_ord", "rank", "entry_id")) - 1
+    error = F.when(F.col("snippet").isNull(), F.concat(F.lit("no text from "), F.col("provider")))
+    pages = rows.select(F.col("query_digest").alias("batch"), order.alias("ord"), F.col("link").alias("url"), F.col("snippet").alias("content"), error.alias("error"))
+    return batch_answer(pages).select("batch", F.length("answer").alias("n_chars"), F.md5("answer").alias("answer_md5"))
 
 
 def link_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,7 +114,13 @@ ORACLE = {
     "ip_nonpublic": """with n as (select c_custkey, c_custkey % 256 as a, c_custkey * 7 % 256 as b from customer)
 select c_custkey, (a in (0, 10, 127) or a >= 224 or (a = 100 and b between 64 and 127) or (a = 169 and b = 254) or (a = 172 and b between 16 and 31) or (a = 192 and b = 168)) as non_public, (a = 100 and b between 64 and 127) as in_cidr from n""",
     "token_estimate": r"select doc_id, len(regexp_extract_all(text, '[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}]|[\p{L}\p{M}]+|\p{Nd}{1,3}|[^\s\p{L}\p{M}\p{Nd}]')) as tokens from documents",
-    "batch_text": f"select {_URL} as site, count(*) as n_pages, cast(sum(length('### ' || url || case when warning is not null then chr(10) || '> Error: ' || warning else chr(10) || coalesce(title, '') end)) as bigint) as n_chars from (select distinct page_id, url, title, warning from formatted_pages) group by 1",
+    "batch_text": """with r as (select query_digest, provider, link, snippet, row_number() over (partition by query_digest order by provider_ord, rank, entry_id) as n from (select distinct on (entry_id) * from serp_entries)),
+t as (select query_digest as batch, string_agg('### ' || link || ' (' || n || ')' || chr(10) || chr(10) || coalesce(snippet, '> Error: no text from ' || provider), chr(10) || chr(10) || '---' || chr(10) || chr(10) order by n) as answer from r group by 1)
+select batch, cast(length(answer) as integer) as n_chars, md5(answer) as answer_md5 from t""",
+    "tidy_markdown": r"""with p as (select distinct page_id, content from formatted_pages where content is not null),
+t as (select page_id, content, regexp_replace(regexp_replace(regexp_replace(regexp_replace(content, '\[\s*\n+\s*([^\[\]\n]+?)\s*\n+\s*\]\(', '[\1](', 'g'), '\]\s*\n+\s*\((https?://)', '](\1', 'g'), '\]\(\s*([^\s()]+)\s*\)', '](\1)', 'g'), '\n{3,}', chr(10) || chr(10), 'g') as a,
+  string_split(content, chr(10)) as lines from p)
+select page_id, md5(trim(regexp_replace(a, '(?m)^[ \t]+', '', 'g'))) as tidy_md5, md5(array_to_string(list_filter(lines, lambda x, i: trim(x) <> '' or (i > 1 and trim(lines[i - 1]) <> '')), chr(10))) as squeezed_md5 from t""",
     "plain_representation": _ONE + """, m as (select *, concat_ws(chr(10) || chr(10), case when coalesce(published_time, '') <> '' then 'Published Time: ' || published_time end,
   case when coalesce(warning, '') <> '' then 'Warning: ' || replace(warning, chr(10), chr(10) || 'Warning: ') end, case when num_pages <> 0 then 'Number of Pages: ' || num_pages end) as mixed from p)
 select page_id, md5('Title: ' || coalesce(title, '') || chr(10) || chr(10) || 'URL Source: ' || coalesce(url, '') || chr(10) || case when mixed <> '' then chr(10) || mixed || chr(10) else '' end

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagewright.functions.text import site_of
 from pagewright.kernel.jsontext import EventStream
 from pagewright.storage import provide_package, table
 
@@ -108,13 +109,16 @@ def session_idle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def latest_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = table(spark, sf_dir, "snapshots").select(F.col("locale").alias("key"), F.col("observed_at").alias("at"), "page_id")
-    return latest_observation(s).select("key", "page_id")
+    """The last event of every user's type."""
+    e = table(spark, sf_dir, "events").select(F.concat_ws(":", "user_id", "event_type").alias("key"), F.struct("ts", "event_id").alias("at"), "value")
+    return latest_observation(e).select("key", F.col("at.event_id").alias("event_id"))
 
 
 def modified_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = table(spark, sf_dir, "snapshots").select(F.col("locale").alias("key"), F.struct("observed_at", "page_id").alias("at"), F.col("elem_count").cast("long").alias("elements")).filter("elements is not null")
-    return significantly_modified(s)
+    """Sites whose pages' number of elements, from the first seen to the last, changed by more than a twentieth, by day."""
+    s = table(spark, sf_dir, "snapshots").filter("elem_count is not null")
+    rows = s.select(F.concat_ws(" ", site_of(F.col("url")), F.date_format("observed_at", "yyyy-MM-dd")).alias("key"), F.struct("observed_at", "page_id").alias("at"), F.col("elem_count").cast("long").alias("elements"))
+    return significantly_modified(rows)
 
 
 QUERIES = {"session_idle": session_idle, "latest_snapshot": latest_snapshot, "modified_by_js": modified_pages}
@@ -122,7 +126,8 @@ ORACLE = {
     "session_idle": """with e as (select user_id as key, ts, case when ts - lag(ts) over (partition by user_id order by ts) < interval 6 hour then 0 else 1 end as fresh from events),
 s as (select key, ts, sum(fresh) over (partition by key order by ts rows unbounded preceding) as g from e)
 select key, strftime(min(ts), '%Y-%m-%d %H:%M:%S') as started, count(*) as n from s group by key, g""",
-    "latest_snapshot": "select locale as key, max_by(page_id, struct_pack(a := observed_at, b := page_id)) as page_id from snapshots group by locale",
-    "modified_by_js": """with f as (select locale as key, min_by(elem_count, struct_pack(a := observed_at, b := page_id)) as a, max_by(elem_count, struct_pack(a := observed_at, b := page_id)) as b from snapshots where elem_count is not null group by locale)
+    "latest_snapshot": "select user_id || ':' || event_type as key, max_by(event_id, struct_pack(a := ts, b := event_id)) as event_id from events group by 1",
+    "modified_by_js": r"""with s as (select regexp_replace(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1), '^www\.', '') || ' ' || strftime(observed_at, '%Y-%m-%d') as key, struct_pack(a := observed_at, b := page_id) as seen, elem_count from snapshots where elem_count is not null),
+f as (select key, min_by(elem_count, seen) as a, max_by(elem_count, seen) as b from s group by key)
 select key, abs(b - a) / greatest(a, 1) > 0.05 as modified from f""",
 }
