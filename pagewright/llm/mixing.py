@@ -127,4 +127,18 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shares(p9_mixture(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
 
 
-QUERIES = {"p9_mixture": p9_mixture, "p9_shares": p9_shares}
+def p9_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By source: whether its size is within three of the largest documents of its target, whether no document is used too often, and how many aren't the source's."""
+    mixture = staged(p9_mixture(spark, sf_dir), "mixture")
+    reached = shares(mixture, table(spark, sf_dir, "mix_targets"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("own"))
+    by = mixture.join(docs, "doc_id", "left").groupBy("source").agg(F.count_if(~F.col("own").eqNullSafe(F.col("source"))).alias("n_foreign"), F.max("n_tokens").alias("largest"))
+    whole = Window.partitionBy()  # a row for each source
+    joined = reached.join(by, "source", "left").withColumn("whole", F.sum("n_tokens").over(whole)).withColumn("step", F.max("largest").over(whole))
+    near = F.abs(F.col("n_tokens") - F.col("target_share") * F.col("whole")) <= 3 * F.col("step")
+    return joined.select("source", near.alias("near"), (F.col("most_repeats") <= F.col("max_repeats")).alias("kept"), F.coalesce("n_foreign", F.lit(0)).alias("n_foreign"))
+
+
+QUERIES = {"p9_mixture": p9_mixture, "p9_shares": p9_shares, "p9_rules": p9_rules}
+# What any mixture must keep: shares near their targets, no more repeats than allowed, documents of the source itself.
+ORACLE = {"p9_rules": "select source, true as near, true as kept, cast(0 as bigint) as n_foreign from mix_targets"}

@@ -144,4 +144,17 @@ def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by.join(sizes, "pack_id").withColumn("used_share", F.col("n_tokens") / (F.col("n_containers") * F.col("capacity_tokens")))
 
 
-QUERIES = {"p8_packed": p8_packed, "p8_fill": p8_fill}
+def p8_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By capacity: documents packed, containers beyond it, documents in two containers without need, and containers at all against the least number there can be."""
+    packed = staged(p8_packed(spark, sf_dir), "packed").join(table(spark, sf_dir, "pack_sizes"), "pack_id")
+    bins = packed.groupBy("pack_id", "capacity_tokens", "container").agg(F.sum("n_tokens").alias("used"))
+    docs = packed.groupBy("pack_id", "capacity_tokens", "doc_id").agg(F.sum("n_tokens").alias("size"), F.count_distinct("container").alias("parts"))
+    over = bins.groupBy("pack_id").agg(F.count_if(F.col("used") > F.col("capacity_tokens")).alias("n_over"), (F.sum("used") / F.sum("capacity_tokens") >= 0.97).alias("full"))
+    split = docs.groupBy("pack_id").agg(F.count(F.lit(1)).alias("n_documents"), F.count_if((F.col("parts") > 1) & (F.col("size") <= F.col("capacity_tokens"))).alias("n_split"))
+    return over.join(split, "pack_id").select("pack_id", "n_documents", "n_over", "n_split", "full")
+
+
+QUERIES = {"p8_packed": p8_packed, "p8_fill": p8_fill, "p8_rules": p8_rules}
+
+# What any packing must keep: every document with text once, nothing above the capacity, no needless split.
+ORACLE = {"p8_rules": "select pack_id, (select count(*) from documents where length(text) > 0) as n_documents, cast(0 as bigint) as n_over, cast(0 as bigint) as n_split, true as \"full\" from pack_sizes"}
