@@ -65,6 +65,47 @@ def tolerant_json(text: Column, path: str = "", **options: bool) -> Column:
     return run(text)
 
 
+class JsonEvents:
+    """Events of a JSON document in the order in which a reader meets them: (path, kind, value); kinds are object, array, end and value.
+
+    A document that ends early, or has text in front, gives the events up to its end; null gives none.
+    """
+
+    def eval(self, text: str):  # noqa: ANN201
+        if text is None:
+            return
+        try:
+            found = jsontext.parse_tolerant(text, contaminated=True, abrupt=True)
+        except (jsontext.JsonError, RecursionError):
+            return
+        stack = [("$", found, False)]
+        while stack:
+            path, node, ended = stack.pop()
+            if ended:
+                yield path, "end", None
+            elif isinstance(node, dict | list):
+                yield path, "object" if isinstance(node, dict) else "array", None
+                parts = node.items() if isinstance(node, dict) else enumerate(node)
+                stack.append((path, None, True))
+                stack.extend(reversed([(f"{path}.{k}", v, False) for k, v in parts]))
+            else:
+                yield path, "value", json.dumps(node, ensure_ascii=False)
+
+
+def json_events(spark: SparkSession, objects: DataFrame, column: str, *keep: str) -> DataFrame:
+    """`keep` columns with (path, kind, value) of every event of the documents in `column`, through the table function `json_events`."""
+    from pyspark.sql.functions import udtf
+
+    spark.udtf.register("json_events", udtf(JsonEvents, returnType="path string, kind string, value string"))
+    objects.select(*keep, F.col(column).alias("_json")).createOrReplaceTempView("_json_objects")
+    return spark.sql(f"select {', '.join([*keep, 'path', 'kind', 'value'])} from _json_objects, lateral json_events(_json)")
+
+
+def props_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events of every event's properties."""
+    return json_events(spark, table(spark, sf_dir, "events"), "props", "event_id").select("event_id", "path", "kind", F.coalesce("value", F.lit("")).alias("value"))
+
+
 def path_values(objects: Column, path: str) -> Column:
     """The value at a JSON path, null where it is missing or empty."""
     return F.nullif(F.get_json_object(objects, path), F.lit(""))
@@ -86,8 +127,11 @@ def trimmed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trim_messages(e, F.col("n"), 100, "user_id", "event_id").select("user_id", "event_id")
 
 
-QUERIES = {"json_path_stream": json_path_stream, "chat_encode": chat_encode, "trim_messages": trimmed}
+QUERIES = {
+    "json_events": props_events, "json_path_stream": json_path_stream, "chat_encode": chat_encode, "trim_messages": trimmed,
+}
 ORACLE = {
+    "json_events": """select event_id, '$' as path, unnest(['object', 'end']) as kind, '' as value from events where props is not null union all select event_id, '$.' || unnest(json_keys(props)), 'value', props->>unnest(json_keys(props)) from events where props is not null""",
     "json_path_stream": "select event_id, json_extract_string(props, '$.k') as k from events where nullif(json_extract_string(props, '$.k'), '') is not null",
     "chat_encode": "select user_id, md5(string_agg('<|im_start|>' || event_type || chr(10) || event_type || ' ' || props || '<|im_end|>', chr(10) order by event_id)) as prompt_md5 from events group by user_id",
     "trim_messages": """with e as (select user_id, event_id, case when event_type = 'view' then 'system' else 'user' end as role, length(props) + 4 as cost from events),

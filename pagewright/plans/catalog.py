@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.operators import chunks, columns, pages, policy, prompts, renderings, search, timestamps
+from pagewright.operators import chain, chunks, columns, pages, policy, prompts, renderings, search, timestamps
 from pagewright.plans.options import ReadOptions, formatted
 from pagewright.storage import table
 from pagewright.streaming import observations
@@ -22,7 +22,7 @@ def preset_read(name: str):  # noqa: ANN201
     return run
 
 
-_MODULES = [pages, renderings, columns, chunks, search, policy, prompts, observations, timestamps]
+_MODULES = [pages, renderings, columns, chunks, search, policy, chain, prompts, observations, timestamps]
 
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()} | {f"preset_{name}": preset_read(name) for name in ("reader", "index", "spider")}
 ORACLE = {name: sql for m in _MODULES for name, sql in getattr(m, "ORACLE", {}).items()}

@@ -14,7 +14,7 @@ from pagewright.functions.text import site_of
 from pagewright.kernel import jsontext
 from pagewright.kernel.ip import in_cidr, is_non_public
 from pagewright.kernel.timeparse import local_to_utc, readings
-from pagewright.operators import chunks, policy, search, timestamps
+from pagewright.operators import chain, chunks, policy, prompts, search, timestamps
 from pagewright.operators.pages import trimmed_to_tokens
 from pagewright.plans.options import OptionError, ReadOptions, formatted, from_headers
 from pagewright.sources.documents import csv_markdown, decode_html, document_markdown, parse_feed, pdf_pages
@@ -223,11 +223,47 @@ def test_stateful_stream(spark, tmp_path) -> None:  # noqa: ANN001
     rows = [("k", 0, 100), ("k", 100, 101), ("k", 200, 120), ("k", 1500, 120)]
     spark.createDataFrame(rows, "key string, at_ms long, elements long").coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("key string, at_ms long, elements long").parquet(str(tmp_path / "in"))
-    query = observations.throttled_reports(stream).writeStream.format("memory").queryName("reports").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    query = observations.throttled_reports(stream, None).writeStream.format("memory").queryName("reports").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     query.awaitTermination(120)
     assert sorted(r["at_ms"] for r in spark.sql("select * from reports").collect()) == [0, 200, 1500]
 
 
+def test_stateful_table(spark) -> None:  # noqa: ANN001
+    rows = [("k", 0, "a"), ("k", 50, "b"), ("k", 90, "c"), ("k", 130, "d"), ("k", 500, "e"), ("m", 5, "x"), ("m", 6, "y"), (None, 1, "z")]
+    df = spark.createDataFrame(rows, "key string, at_ms long, value string")
+    got = sorted(tuple(r) for r in observations.conflated_writes(df, 100).collect())
+    assert got == [("k", 0, "a"), ("k", 100, "c"), ("k", 200, "d"), ("k", 500, "e"), ("m", 5, "x"), ("m", 105, "y")]
+    texts = observations.incremental_text(df.selectExpr("key as stream_id", "at_ms as seq", "value as chunk"))
+    assert {(r["stream_id"], r["seq"]): r["text"] for r in texts.collect()}[("k", 130)] == "abcd"
+    assert observations.conflated_writes(df.limit(0), 100).count() == 0
+
+
+def test_text_stream(spark, tmp_path) -> None:  # noqa: ANN001
+    spark.createDataFrame([("s", 1, "ab"), ("s", 2, "c"), ("t", 1, None)], "stream_id string, seq long, chunk string").coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("stream_id string, seq long, chunk string").parquet(str(tmp_path / "in"))
+    query = observations.incremental_text(stream, None).writeStream.format("memory").queryName("texts").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    assert sorted(tuple(r) for r in spark.sql("select * from texts").collect()) == [("s", 1, "ab"), ("s", 2, "abc"), ("t", 1, "")]
+
+
+def test_chain(spark) -> None:  # noqa: ANN001
+    points = spark.createDataFrame([(1, 5), (2, 1 << 22), (3, None), (4, 99)], "id long, number long")
+    ranges = spark.createDataFrame([(0, 50, 7), (3, 9, 8), (1 << 21, 1 << 23, 9)], "first long, last long, asn long")
+    assert {r["id"]: r["asn"] for r in chain.range_lookup(points, ranges, "id").collect()} == {1: 8, 2: 9, 3: None, 4: None}
+    assert chain.range_lookup(points.limit(0), ranges, "id").count() == 0
+    one = lambda c: spark.range(1).select(c).first()[0]
+    assert one(chain.is_temporal(F.lit("https://h/a.pdf?sig=1"))) and not one(chain.is_temporal(F.lit("https://h/a.pdf#p?")))
+
+
+def test_json_events(spark) -> None:  # noqa: ANN001
+    df = spark.createDataFrame([(1, '{"a": [1, "x"], "b": {}}'), (2, None), (3, "no json"), (4, '{"a": [1, "y')], "id long, body string")
+    got: dict = {}
+    for r in prompts.json_events(spark, df, "body", "id").collect():
+        got.setdefault(r["id"], []).append((r["path"], r["kind"], r["value"]))
+    assert got[1] == [("$", "object", None), ("$.a", "array", None), ("$.a.0", "value", "1"), ("$.a.1", "value", '"x"'), ("$.a", "end", None), ("$.b", "object", None), ("$.b", "end", None), ("$", "end", None)]
+    assert got[4][:3] == [("$", "object", None), ("$.a", "array", None), ("$.a.0", "value", "1")] and 2 not in got
+
+
 def test_queries_match_sql(spark, data) -> None:  # noqa: ANN001
     duckdb = pytest.importorskip("duckdb")
     import glob

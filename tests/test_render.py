@@ -16,14 +16,14 @@ def md(html: str, **options: object) -> str:
 
 
 CASES = [
-    ("<h1>Hello</h1>", {}, "# Hello"), ("<h6>Deep</h6>", {}, "###### Deep"), ("<h1></h1>", {}, ""), ("<h2>A</h2><p>b</p>", {}, "## A\n\nb"),
-    ("<h1>Top</h1>", {"heading_style": "setext"}, "Top\n==="), ("<h2>Sub Two</h2>", {"heading_style": "setext"}, "Sub Two\n-------"), ("<h3>S</h3>", {"heading_style": "setext"}, "### S"),
-    ("<b>bold</b>", {}, "**bold**"), ("<strong>x</strong>", {"strong": "__"}, "__x__"), ("<strong></strong>", {}, ""), ("<i>it</i>", {}, "_it_"), ("<em>a_b</em>", {}, "_a\\_b_"), ("<em>x</em>", {"em": "*"}, "*x*"),
-    ('<a href="/p">t</a>', {"base": "https://h/x"}, "[t](https://h/p)"), ('<a href="/p">t</a>', {"base": "blob:abc"}, "[t](/p)"), ("<a>t</a>", {}, "[t]()"), ('<a href="https://x.com">C</a>', {"link_style": "discarded"}, "C"),
+    ("<h1>Harbour fees</h1>", {}, "# Harbour fees"), ("<h6>Annex</h6>", {}, "###### Annex"), ("<h1></h1>", {}, ""), ("<h2>A</h2><p>b</p>", {}, "## A\n\nb"),
+    ("<h1>Quay</h1>", {"heading_style": "setext"}, "Quay\n===="), ("<h2>Low tide</h2>", {"heading_style": "setext"}, "Low tide\n--------"), ("<h3>Rope</h3>", {"heading_style": "setext"}, "### Rope"),
+    ("<b>heavy load</b>", {}, "**heavy load**"), ("<strong>x</strong>", {"strong": "__"}, "__x__"), ("<strong></strong>", {}, ""), ("<i>by night</i>", {}, "_by night_"), ("<em>a_b</em>", {}, "_a\\_b_"), ("<em>x</em>", {"em": "*"}, "*x*"),
+    ('<a href="/p">t</a>', {"base": "https://h/x"}, "[t](https://h/p)"), ('<a href="/p">t</a>', {"base": "blob:abc"}, "[t](/p)"), ("<a>t</a>", {}, "[t]()"), ('<a href="https://quay.example">C</a>', {"link_style": "discarded"}, "C"),
     ('<a href="u">C</a>', {"link_style": "referenced"}, "[C][1]\n\n[1]: u"), ('<a href="u">C</a>', {"link_style": "referenced", "link_reference": "collapsed"}, "[C][]\n\n[C]: u"), ('<a href="u">C</a>', {"link_style": "referenced", "link_reference": "shortcut"}, "[C]\n\n[C]: u"),
-    ('<h2><a href="https://x.com">L</a></h2>', {}, "## [L](https://x.com)"), ('<img src="s" alt="a" title="T">', {}, '![a](s "T")'), ('<img src="s">', {}, "![](s)"),
-    ("<code>  x </code>", {}, "`x`"), ('<pre><code class="language-js">a\nb</code></pre>', {}, "```js\na\nb\n```"), ("intro<pre><code>l1\nl2</code></pre>", {"code_style": "indented"}, "intro\n\n    l1\n    l2"), ("<pre>plain  text</pre>", {}, "plain  text"),
-    ("<ul><li>T<ul><li>S</li></ul></li></ul>", {}, "*   T\n    *   S"), ("<ol><li>a<ol><li>b</li></ol></li></ol>", {}, "1.   a\n    1.   b"), ("<ul><li>X</li></ul>", {"bullet": "-"}, "-   X"), ("<li>alone</li>", {}, "*   alone"),
+    ('<h2><a href="https://quay.example">L</a></h2>', {}, "## [L](https://quay.example)"), ('<img src="s" alt="a" title="T">', {}, '![a](s "T")'), ('<img src="s">', {}, "![](s)"),
+    ("<code>  x </code>", {}, "`x`"), ('<pre><code class="language-js">a\nb</code></pre>', {}, "```js\na\nb\n```"), ("first<pre><code>tie()\ncast()</code></pre>", {"code_style": "indented"}, "first\n\n    tie()\n    cast()"), ("<pre>knots  7</pre>", {}, "knots  7"),
+    ("<ul><li>T<ul><li>S</li></ul></li></ul>", {}, "*   T\n    *   S"), ("<ol><li>a<ol><li>b</li></ol></li></ol>", {}, "1.   a\n    1.   b"), ("<ul><li>oar</li></ul>", {"bullet": "-"}, "-   oar"), ("<li>buoy</li>", {}, "*   buoy"),
     ("<blockquote><p>q</p></blockquote>", {}, "> q"), ("<hr>", {}, "* * *"), ("<hr>", {"hr": "---"}, "---"), ("<del>g</del>", {}, "~~g~~"), ("<s></s>", {}, ""), ("<b>a</b> <i>b</i>", {}, "**a**_b_"),
     ("<table><tr><th>A</th><th align=right>B</th></tr><tr><td>1</td><td>2</td></tr></table>", {}, "| A | B |\n| --- | ---: |\n| 1 | 2 |"), ("<p><b>T<br><p>A</p>", {}, "**T\n\nA**"),
     ("<script>x()</script><style>b{}</style><p>v</p>", {}, "v"), ('<input type="checkbox">', {}, "- [x]"), ("<p>a</p><math alttext='x^2'></math>", {}, "a\n\n$x^2$"), ("<mark>m</mark>", {"keep": frozenset(["mark"])}, "<mark>m</mark>"),
