@@ -124,8 +124,16 @@ def scores(weights: np.ndarray, feature: np.ndarray, place: np.ndarray, n: int)
 def fit(texts: list[str], statuses: list[int | None], titles: list[str | None] | None = None, rounds: int = 100, rate: float = 2.0) -> np.ndarray:
     """Weights (feature, class) of the softmax regression, by gradient descent with momentum; the bias is a feature."""
     weights = np.zeros((1 << BITS, 3), np.float32)
-    feature, place, text_of, letters, first_char = features(texts, titles)
-    labels = segment_labels(texts, statuses, text_of, letters, first_char)
+    parts = []  # some texts at a time, for the driver's memory
+    for at, end in _runs(texts):
+        own = titles[at:end] if titles else None
+        feature, place, text_of, letters, first_char = features(texts[at:end], own)
+        parts.append((feature, place, segment_labels(texts[at:end], statuses[at:end], text_of, letters, first_char)))
+    sizes = np.cumsum([0, *(len(labels) for _, _, labels in parts)])
+    feature = np.concatenate([f for f, _, _ in parts]) if parts else np.empty(0, np.int32)
+    place = np.concatenate([p + k for (_, p, _), k in zip(parts, sizes[:-1], strict=True)]).astype(np.int32) if parts else np.empty(0, np.int32)
+    labels = np.concatenate([x for _, _, x in parts]) if parts else np.empty(0, int)
+    del parts
     use = np.flatnonzero(labels >= 0)
     if not len(use):
         return weights
@@ -256,21 +264,27 @@ def train(spark: SparkSession, sf_dir: str) -> np.ndarray:
     return _TRAINED[key]
 
 
-def classify(texts: list[str], weights: np.ndarray, titles: list[str | None] | None = None, chunk: int = 400_000) -> np.ndarray:
-    """(letters, filler segments' letters, message segments' letters) of each text; whole texts, many at a time."""
-    out = np.zeros((len(texts), 3))
+def _runs(texts: list[str], chunk: int = 400_000) -> Iterator[tuple[int, int]]:
+    """Begins and ends of runs of texts with about `chunk` characters."""
     at = 0
     while at < len(texts):
         end, size = at, 0
         while end < len(texts) and (end == at or size + len(texts[end]) <= chunk):
             size += len(texts[end])
             end += 1
+        yield at, end
+        at = end
+
+
+def classify(texts: list[str], weights: np.ndarray, titles: list[str | None] | None = None, chunk: int = 400_000) -> np.ndarray:
+    """(letters, filler segments' letters, message segments' letters) of each text; whole texts, many at a time."""
+    out = np.zeros((len(texts), 3))
+    for at, end in _runs(texts, chunk):
         feature, place, text_of, letters, _ = features(texts[at:end], titles[at:end] if titles else None)
         n = len(text_of)
         best = scores(weights, feature, place, n).argmax(1) if n else np.empty(0, int)
         for k, weight in ((0, letters), (1, np.where(best == FILLER, letters, 0)), (2, np.where(best == MESSAGE, letters, 0))):
             out[at:end, k] = np.bincount(text_of, weight, end - at)
-        at = end
     return out
 
 
