@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from pagewright.functions.text import site_of
 from pagewright.functions.urls import url_digest
-from pagewright.storage import table
+from pagewright.storage import staged, table
 
 #: Operators of the query grammar.
 KEYS = ("ext", "filetype", "intitle", "loc", "site")
@@ -110,17 +111,16 @@ def search_charge(results: DataFrame, tokens: str, per_ten: int = 10_000, scaler
 
 
 def local_index(docs: DataFrame, query: str, k: int = 10, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """BM25 over the words of `docs` (doc_id, text): only the query's words are counted, so that nothing is exploded."""
+    """The best `k` (doc_id, score) of `docs` (doc_id, text) by BM25: only the query's words are counted, in one pass over the texts."""
     terms = sorted({t for t in re.split(r"\W+", query.lower()) if t})
     lowered = F.lower(F.coalesce(F.col("text"), F.lit("")))
-    counted = docs.select("doc_id", F.size(F.split(lowered, r"[^\p{L}\p{Nd}]+")).alias("n"), *(F.regexp_count(lowered, F.lit(rf"(?<![\p{{L}}\p{{Nd}}]){re.escape(t)}(?![\p{{L}}\p{{Nd}}])")).alias(f"t{i}") for i, t in enumerate(terms)))
-    stats = counted.agg(F.count(F.lit(1)).alias("docs"), F.avg("n").alias("mean"), *(F.sum((F.col(f"t{i}") > 0).cast("long")).alias(f"df{i}") for i in range(len(terms))))
-    joined = counted.crossJoin(F.broadcast(stats))  # one row
+    counted = staged(docs.select("doc_id", F.size(F.split(lowered, r"[^\p{L}\p{Nd}]+")).alias("n"), *(F.regexp_count(lowered, F.lit(rf"(?<![\p{{L}}\p{{Nd}}]){re.escape(t)}(?![\p{{L}}\p{{Nd}}])")).alias(f"t{i}") for i, t in enumerate(terms))), "counted")
+    stats = counted.agg(F.count(F.lit(1)).alias("docs"), F.avg("n").alias("mean"), *(F.sum((F.col(f"t{i}") > 0).cast("long")).alias(f"df{i}") for i in range(len(terms)))).first()  # one row
     score = F.lit(0.0)
     for i in range(len(terms)):
-        tf, df = F.col(f"t{i}"), F.col(f"df{i}")
-        score = score + F.log(1 + (F.col("docs") - df + 0.5) / (df + 0.5)) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("n") / F.col("mean")))
-    return joined.select("doc_id", F.round(score, 6).alias("score")).filter("score > 0").orderBy(F.desc("score"), "doc_id").limit(k)
+        tf, df = F.col(f"t{i}"), stats[f"df{i}"] or 0
+        score = score + math.log(1 + (stats["docs"] - df + 0.5) / (df + 0.5)) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("n") / F.lit(stats["mean"] or 1.0)))
+    return counted.select("doc_id", F.round(score, 6).alias("score")).filter("score > 0").orderBy(F.desc("score"), "doc_id").limit(k)
 
 
 _SERP = ("entry_id", "query_digest", "provider", "provider_ord", "rank", "link", "title", "source", "date", "snippet", "variant")
@@ -176,6 +176,10 @@ _ROWS = "serp as (select distinct entry_id, query_digest, provider, provider_ord
 _UNIQUE = f"uniq as (select * from serp qualify row_number() over (partition by query_digest, {_DIGEST} order by provider_ord, rank, entry_id) = 1)"
 _SITE = r"regexp_replace(regexp_extract(lower(link), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1), '^www\.', '')"
 ORACLE = {
+    "local_index": r"""with w as (select doc_id, regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{Nd}]+') as words from documents),
+c as (select doc_id, len(words) as n, unnest(['library', 'markdown', 'station']) as term, words from w), f as (select doc_id, n, term, len(list_filter(words, lambda x: x = term)) as tf from c),
+s as (select count(*) as docs, avg(len(words)) as mean from w), d as (select term, count(*) filter (where tf > 0) as df from f group by term)
+select doc_id, round(sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / mean))), 6) as score from f join d using (term), s group by doc_id having score > 0 order by score desc, doc_id limit 20""",
     "query_relaxation": rf"""with t as (select distinct entry_id, title, regexp_split_to_array(trim(title), '\s+') as w, regexp_matches(title, '{RIGHT_TO_LEFT}') as back from serp_entries where trim(title) <> ''),
 k as (select *, len(w) as n, cast(ceil(len(w) / 4.0) as bigint) as q from t),
 c as (select entry_id, unnest([n, greatest(n - q, 0), greatest(n - 2 * q, 0), greatest(n - 3 * q, 0), least(n, 2)]) as m, unnest([0, 1, 2, 3, 4]) as i, w, n, back from k),
