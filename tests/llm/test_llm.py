@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -124,6 +125,22 @@ def test_parts_and_meetings_agree(spark) -> None:  # noqa: ANN001
     assert whole == met == blocks and whole and whole <= parts
 
 
+def test_divided_parts_are_searched_in_passes(spark, monkeypatch) -> None:  # noqa: ANN001
+    """Where parts are divided into buckets, a pass takes some whole parts only, and what it wrote on the way is deleted."""
+    from pagewright.storage import shared_folder
+
+    monkeypatch.setattr(near_duplicates, "PARTS", 4)
+    df = spark.createDataFrame(list(near_texts().items()), "id long, text string")
+    taken, sketches = [], near_duplicates.sketches
+    monkeypatch.setattr(near_duplicates, "sketches", lambda *args, only=None, **more: taken.append(only) or sketches(*args, only=only, **more))
+    folder = Path(shared_folder(spark).removeprefix("file:"))
+    before = {*folder.glob("prefix-*"), *folder.glob("large-*")}
+    divided = {tuple(r) for r in near_duplicates.candidate_pairs(df, 16).collect()}
+    assert taken == [range(0, 4), range(4, 8), range(8, 12), range(12, 16)]
+    assert {*folder.glob("prefix-*"), *folder.glob("large-*")} == before
+    assert divided == {tuple(r) for r in near_duplicates.candidate_pairs(df, 4).collect()} and divided
+
+
 @pytest.mark.parametrize(("bucket", "parts"), [(10_000_000, 16), (1000, 16), (500, 2)])
 def test_no_link_is_lost(spark, monkeypatch, bucket: int, parts: int) -> None:  # noqa: ANN001
     """Pairs just above the threshold, whose samples of substrings have little in common."""
