@@ -204,6 +204,20 @@ def test_residue(spark, data) -> None:  # noqa: ANN001
     assert residue.residue(df.limit(0), "page_id", "text", weights).count() == 0
 
 
+def test_validation_counts_all_records(spark, monkeypatch, tmp_path) -> None:  # noqa: ANN001
+    """Every labelled segment of the hosts kept for validation, whatever the size of the training sample."""
+    monkeypatch.setattr(residue, "SAMPLE", 20)
+    monkeypatch.setattr(residue, "LOOKED_AT", 100)
+    rows = [(i, f"https://h{i % 40}.example/a", f"The canal number {i} keeps its narrow path for most of the year. " * 10, 200, "The canal") for i in range(400)]
+    shots = spark.createDataFrame([*rows, rows[0], (900, "https://h1.example/a", None, 200, None)], "page_id long, url string, text string, status int, title string")
+    shots.write.parquet(str(tmp_path / "snapshots.parquet"))
+    shots.limit(0).withColumnRenamed("text", "content").drop("status").write.parquet(str(tmp_path / "formatted_pages.parquet"))
+    kept = {r["page_id"] for r in residue.host_records(spark, str(tmp_path), True).filter("text is not null").collect()}
+    assert 20 < len(kept) < 200
+    got = residue.p3_validation(spark, str(tmp_path)).collect()
+    assert sum(r["n_segments"] for r in got) == 10 * len(kept) and {r["label"] for r in got} == {"text"}
+
+
 # encoding
 
 
