@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewright.functions.text import site_of
-from pagewright.llm.language import labelled_sample
+from pagewright.llm.language import labelled_documents
 from pagewright.storage import bounded_broadcast, staged, table
 
 # Code pages that text is read with by mistake, and ones that it was really written in.
@@ -37,8 +37,8 @@ MULTI = ["utf-8", "gbk", "shift_jis", "euc_jp", "big5", "euc_kr"]
 WIDE_READ = ["gbk", "shift_jis", "big5"]
 # Marks that text in any script may hold.
 MARKS = "«»—–“”„…№"
-#: Prior weight of a clean line, rounds of the mixture, rounds of the tables of known and of unknown swaps, sample for each language.
-CLEAN, MIX_ROUNDS, TABLE_ROUNDS, CIPHER_ROUNDS, SAMPLE = 0.98, 3, 15, 60, 120
+#: Prior weight of a clean line, rounds of the mixture, rounds of the tables of known and of unknown swaps.
+CLEAN, MIX_ROUNDS, TABLE_ROUNDS, CIPHER_ROUNDS = 0.98, 3, 15, 60
 #: Letters that a symbol of a known swap may stand for beside its own: the ones that fit its neighbours best.
 RIVALS = 6
 #: Surprise left, in nats, under its best reading, from which on a line may be of an unknown swap; cost of a symbol that a table changes.
@@ -51,8 +51,13 @@ USUAL, EXCESS = 6.0, 0.5
 PENALTY = {"utf-8": 0.0} | dict.fromkeys(MULTI[1:], 3.0) | dict.fromkeys(SINGLE, 6.0)
 #: Sightings that a known swap counts as, when a table is learned.
 KNOWN = 20.0
-#: Records in the sample of usual lines, and the gain from which on a line is left out of it.
-RECORDS, GARBLED = 1500, 15.0
+#: What the counts of all documents of a language, and of all records, weigh at most, in documents and records: the priors are set for
+#: counts of that size, and a swap that is common in a large corpus is as rare in these counts as in those of a small one.
+DOCUMENTS, RECORDS = 120, 1500
+#: The gain from which on a line isn't counted as usual.
+GARBLED = 15.0
+#: Characters whose pairs are counted at a time.
+COUNTED = 1_000_000
 LOST, UNKNOWN, ANY_SOURCE = "lost", "unknown", "*"
 _PAIR = re.compile("[^\\x00-\\x7f]{2}")
 
@@ -82,8 +87,9 @@ def _class_of() -> np.ndarray:
 class Bigrams:
     """Language bigrams: log-probabilities of pairs, from counts of characters within their classes and of pairs."""
 
-    def __init__(self, texts: list[str]) -> None:
-        pairs: Counter = Counter()
+    def __init__(self, texts: list[str], counted: dict[tuple[str, str], float] | None = None) -> None:
+        """texts: to be counted here; counted: pairs with their counts, digits being 0."""
+        pairs: Counter = Counter(counted or {})
         for t in texts:
             t = "".join("0" if c.isdigit() else c for c in f"\n{t}\n")
             pairs.update(zip(t, t[1:], strict=False))
@@ -610,22 +616,94 @@ def corpus_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shots.unionByName(pages).filter("text is not null")
 
 
+@lru_cache(maxsize=1)
+def _plain_digits() -> np.ndarray:
+    """Each code point, 0 for digits."""
+    out = np.arange(0x110000, dtype=np.uint32)
+    out[[i for i in range(0x110000) if chr(i).isdigit()]] = ord("0")
+    return out
+
+
+def pair_counts(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first, second, n): code points of the pairs of characters in lines, with the line breaks around them, digits being 0."""
+    keys, counts = [], []
+    at = 0
+    while at < len(lines):
+        end, size = at, 0
+        while end < len(lines) and (end == at or size + len(lines[end]) < COUNTED):
+            size += len(lines[end]) + 1
+            end += 1
+        text = "\n".join(["", *lines[at:end], ""])
+        codes = _plain_digits()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
+        a, b = codes[:-1], codes[1:]
+        plain = (a | b) < 128
+        few = np.bincount(a[plain] * np.uint32(128) + b[plain], minlength=1 << 14)
+        some = np.flatnonzero(few)
+        rest, n = np.unique(a[~plain].astype(np.int64) << 21 | b[~plain], return_counts=True)
+        keys += [some >> 7 << 21 | some & 127, rest]
+        counts += [few[some], n]
+        at = end
+    if not keys:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+    key, where = np.unique(np.concatenate(keys), return_inverse=True)
+    return key >> 21, key & 0x1FFFFF, np.bincount(where, np.concatenate(counts), len(key)).astype(np.int64)
+
+
+def counted_pairs(texts: DataFrame, first: Bigrams | None = None) -> DataFrame:
+    """(label, first, second, n): pairs of characters in all texts (label, text), counted by label.
+
+    first: lines that are garbled by these bigrams aren't counted.
+    """
+    shared = first.shared(texts.sparkSession) if first else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            by: dict[str, list[str]] = {}
+            for label, text in zip(batch.column("label").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                by.setdefault(label, []).extend(text.split("\n"))
+            for label, lines in by.items():
+                if shared:
+                    garbled = _garbled(lines, shared.value)
+                    lines = [x for x in lines if x not in garbled] if garbled else lines
+                columns = pair_counts(lines)
+                yield pa.RecordBatch.from_arrays([pa.array([label] * len(columns[0]), pa.string()), *(pa.array(c, pa.int64()) for c in columns)], ["label", "first", "second", "n"])
+
+    found = texts.select("label", "text").filter("text is not null").mapInArrow(run, "label string, first long, second long, n long")
+    return found.groupBy("label", "first", "second").agg(F.sum("n").alias("n"))
+
+
+def _garbled(lines: list[str], bigrams: Bigrams) -> set[str]:
+    """The lines that a reading gains more than GARBLED for."""
+    out: set[str] = set()
+    distinct = list({x: None for x in lines if not x.isascii()})  # a site's lines come again and again
+    for k in range(0, len(distinct), 2000):
+        part = distinct[k : k + 2000]
+        doubt = [x for x, o in zip(part, bigrams.odd(part), strict=True) if o]
+        out |= {x for x, found in zip(doubt, readings_of(doubt, bigrams), strict=True) if any(g > GARBLED for _, g in found)}
+    return out
+
+
+def weighed_pairs(counted: DataFrame, sizes: DataFrame, most: int) -> dict[tuple[str, str], float]:
+    """Sums of the counts over all labels, each weighed as that of at most `most` texts. sizes: (label, size), a row for each label.
+
+    A pair has one row, whatever the number of texts: there are as many as the alphabets have.
+    """
+    weight = F.least(F.lit(1.0), F.lit(float(most)) / F.col("size"))
+    rows = counted.join(F.broadcast(sizes), "label").groupBy("first", "second").agg(F.sum(F.col("n") * weight).alias("n")).toArrow()
+    columns = (rows.column(c).to_pylist() for c in ("first", "second", "n"))
+    return {(chr(a), chr(b)): n for a, b, n in sorted(zip(*columns, strict=True))}
+
+
 def fit_bigrams(spark: SparkSession, sf_dir: str) -> Bigrams:
-    """Bigrams of labelled documents, and of at most RECORDS records' lines that aren't garbled by those of the documents."""
-    texts = [t for _, t in labelled_sample(spark, sf_dir, SAMPLE)]
-    first = Bigrams(texts)
-    records = corpus_records(spark, sf_dir)
-    share = min(1.0, 3 * RECORDS / max(1, records.count()))
-    picked = records.filter(F.pmod(F.xxhash64("page_id", "field_name"), F.lit(1_000_003)) < share * 1_000_003)
-    rows = picked.select(F.xxhash64("page_id", "field_name").alias("h"), "text").limit(4 * RECORDS).toArrow().to_pylist()
-    lines = [line for r in sorted(rows, key=lambda r: (r["h"], r["text"]))[:RECORDS] for line in r["text"].split("\n")]
-    usual = []
-    for k in range(0, len(lines), 5000):
-        part = lines[k : k + 5000]
-        doubt = [line for line, o in zip(part, first.odd(part), strict=True) if o]
-        garbled = {line for line, found in zip(doubt, readings_of(doubt, first), strict=True) if any(g > GARBLED for _, g in found)}
-        usual += [line for line in part if line not in garbled]
-    return Bigrams([*texts, *usual])
+    """Bigrams of all labelled documents, and of all records' lines that aren't garbled by those of the documents."""
+    documents = labelled_documents(spark, sf_dir).select("label", "text").filter("text is not null")
+    sizes = documents.groupBy("label").agg(F.count(F.lit(1)).alias("size"))  # a row for each listed language
+    pairs = weighed_pairs(counted_pairs(documents), sizes, DOCUMENTS)
+    records = corpus_records(spark, sf_dir).select(F.lit("").alias("label"), "text")
+    usual = weighed_pairs(counted_pairs(records, Bigrams([], pairs)), records.groupBy("label").agg(F.count(F.lit(1)).alias("size")), RECORDS)
+    for pair, n in usual.items():
+        pairs[pair] = pairs.get(pair, 0.0) + n
+    return Bigrams([], pairs)
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -272,6 +272,28 @@ def corpus_bigrams(spark) -> encoding.Bigrams:  # noqa: ANN001
     return encoding.fit_bigrams(spark, "/root/testdata/sf0.01")
 
 
+def test_bigrams_count_all_texts(spark, corpus_bigrams, tmp_path) -> None:  # noqa: ANN001
+    """Pairs are counted over whole tables: one that a single record of many holds is known, and garbled lines aren't counted."""
+    lines = ["the canal keeps its path 12", "für die Brücke", "", "Ⓐb Ⓐ"]
+    counted = {(chr(a), chr(b)): n for a, b, n in zip(*(x.tolist() for x in encoding.pair_counts(lines)), strict=True)}
+    expected: dict = {}
+    for t in lines:
+        t = "".join("0" if c.isdigit() else c for c in f"\n{t}\n")
+        for p in zip(t, t[1:], strict=False):
+            expected[p] = expected.get(p, 0) + 1
+    joins = counted.pop(("\n", "\n")), expected.pop(("\n", "\n"))
+    assert counted == expected and joins == (1, 1)
+
+    documents = spark.createDataFrame([(i, "de-AT" if i % 2 else "de", "Der Gärtner prüft die Brücke über den Fluß." + (" Ⓐ" if i == 17 else "")) for i in range(600)], "doc_id long, lang string, text string")
+    documents.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([("de",)], "bcp47 string").write.parquet(str(tmp_path / "languages.parquet"))
+    rows = [(i, f"https://h{i % 9}.example", "The canal keeps its path." + ("\nⒷ Home" if i == 4321 else "") + ("\nDer Gärtner prüft die Brücke".encode().decode("cp1252") if i == 5 else ""), "t") for i in range(8000)]
+    spark.createDataFrame(rows, "page_id long, url string, text string, title string").write.parquet(str(tmp_path / "snapshots.parquet"))
+    spark.createDataFrame(rows[:1], "page_id long, url string, text string, title string").write.parquet(str(tmp_path / "formatted_pages.parquet"))
+    chars = set(encoding.fit_bigrams(spark, str(tmp_path)).chars)
+    assert {"Ⓐ", "Ⓑ", "ß"} <= chars and "Ã" not in chars
+
+
 def held_out(spark, lang: str, n: int) -> list[str]:  # noqa: ANN001
     """Lines of documents of one language."""
     from pagewright.storage import table
